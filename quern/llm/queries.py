@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from quern.llm.common import documents
 from quern.llm.quality_rules import quality_rules
+from quern.llm.secrets import secret_digest
+
+
+def op7_secret_scans(spark, sf_dir):
+    """Secret spans of every whole document."""
+    return secret_digest(documents(spark, sf_dir))
 
 
 def op9_quality_rules(spark, sf_dir):
