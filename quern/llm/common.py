@@ -153,25 +153,42 @@ def sequence_hashes(values: np.ndarray, length: int, powers: Powers) -> np.ndarr
     return mix((prefix[length : length + n] - prefix[:n]) * down[:n])
 
 
+#: Bits of a value's rank and of a position that share one integer in sliding_argmin, and windows per block.
+POSITION_BITS, BLOCK = 20, 1 << 18
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """For every window of `width` values, the position of its smallest value, the rightmost of equals.
 
-    Doubling: the minimum over 2**k values from two of 2**(k-1); O(n log width), whole arrays at a time.
+    The high bits of a value and its position form one integer, so that doubling needs one minimum per level:
+    O(n log width) on arrays that fit a cache. Only the high 44 bits rank, which depends on the values alone.
     """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, span = np.arange(len(values), dtype=np.int64), 1
-    low = values.copy()
-
-    def merge(low, best, shift, count):
-        left, right = low[:count], low[shift : shift + count]
-        take = right <= left
-        return np.where(take, right, left), np.where(take, best[shift : shift + count], best[:count])
-
-    while span * 2 <= width:
-        low, best = merge(low, best, span, len(low) - span)
-        span *= 2
-    if span < width:
-        low, best = merge(low, best, width - span, n)
-    return best[:n]
+    out = np.empty(n, np.int64)
+    low_mask = np.uint64((1 << POSITION_BITS) - 1)
+    for first in range(0, n, BLOCK):
+        count = min(BLOCK, n - first)
+        part = values[first : first + count + width - 1]
+        low = (part & ~low_mask) | (low_mask - np.arange(len(part), dtype=np.uint64))
+        span = 1
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < width:
+            low = np.minimum(low[:count], low[width - span : width - span + count])
+        out[first : first + count] = first + (low_mask - (low[:count] & low_mask)).astype(np.int64)
+    return out
+
+
+def valid_windows(offsets: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows of `length` units that start at 0, 1, ... stay within one row; offsets count units."""
+    n = int(offsets[-1]) - length + 1
+    if n <= 0:
+        return np.zeros(0, bool)
+    edge = np.zeros(n + 1, np.int32)
+    ends = offsets[1:-1]
+    np.add.at(edge, np.clip(ends - length + 1, 0, n), 1)
+    np.add.at(edge, np.clip(ends, 0, n), -1)
+    return np.cumsum(edge[:n]) == 0

@@ -5,6 +5,12 @@ from __future__ import annotations
 from quern.llm.common import documents
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secrets import secret_digest
+from quern.llm.substring_dedup import substring_dedup
+
+
+def op2_substring_dedup(spark, sf_dir):
+    """Windows of 20 words that start earlier elsewhere, removed from every whole document."""
+    return substring_dedup(documents(spark, sf_dir), texts=False)
 
 
 def op7_secret_scans(spark, sf_dir):
@@ -46,9 +52,23 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
+g AS (SELECT doc_id, i, array_to_string(words[i:i+19], ' ') AS g FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (SELECT unnest(range(0, 20)) AS k)),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+k AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) FILTER (WHERE c.i IS NULL) AS kept, count(c.i) AS n_removed
+      FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.i = c.i GROUP BY u.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql():
-    return {"op9_quality_rules": OP9_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op9_quality_rules": OP9_SQL}
