@@ -6,6 +6,7 @@ from quern.llm.common import documents
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secrets import secret_digest
 from quern.llm.substring_dedup import substring_dedup
+from quern.llm.suffix_dedup import suffix_dedup
 
 
 def op2_substring_dedup(spark, sf_dir):
@@ -52,6 +53,11 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 """
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    """200-byte strings that stand elsewhere too, removed from every whole document."""
+    return suffix_dedup(documents(spark, sf_dir), texts=False)
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
