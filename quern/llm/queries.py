@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from quern.llm.common import documents
+from quern.llm.mixing import mix_sources
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secrets import secret_digest
 from quern.llm.substring_dedup import substring_dedup
 from quern.llm.suffix_dedup import suffix_dedup
 
 
+def op1_mix_sources(spark, sf_dir):
+    """Words that the mix takes of every document: weights 5, 2, 1 by source, at most three times each."""
+    return mix_sources(documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark, sf_dir):
     """Windows of 20 words that start earlier elsewhere, removed from every whole document."""
     return substring_dedup(documents(spark, sf_dir), texts=False)
