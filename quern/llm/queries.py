@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from quern.llm.common import documents
+from quern.llm.language_id import fit_language_model, predict_languages
 from quern.llm.mixing import mix_sources
+from quern.llm.quality_model import fit_quality_model, quality_scores
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secrets import secret_digest
 from quern.llm.substring_dedup import substring_dedup
@@ -20,6 +22,18 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup(documents(spark, sf_dir), texts=False)
 
 
+def op3_language_id(spark, sf_dir):
+    """Language of every whole document, learned from the documents that are not held out."""
+    docs = documents(spark, sf_dir)
+    return predict_languages(docs, fit_language_model(docs))
+
+
+def op4_quality_classifier(spark, sf_dir):
+    """Quality of every whole document, learned from the labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    return quality_scores(docs, fit_quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_secret_scans(spark, sf_dir):
     """Secret spans of every whole document."""
     return secret_digest(documents(spark, sf_dir))
