@@ -8,6 +8,7 @@ from quern.llm.mixing import mix_sources
 from quern.llm.quality_model import fit_quality_model, quality_scores
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secrets import secret_digest
+from quern.llm.simhash import near_duplicates
 from quern.llm.substring_dedup import substring_dedup
 from quern.llm.suffix_dedup import suffix_dedup
 
@@ -34,6 +35,11 @@ def op4_quality_classifier(spark, sf_dir):
     return quality_scores(docs, fit_quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op5_simhash_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every whole document."""
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_secret_scans(spark, sf_dir):
     """Secret spans of every whole document."""
     return secret_digest(documents(spark, sf_dir))
