@@ -1,12 +1,71 @@
-"""The training-corpus pipeline; its stages follow."""
+"""The training-corpus pipeline: language, near duplicates, decontamination, mixing, token output.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents. Ids are the key of documents: rows that share an id
+stay or go together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.common import documents, materialise
+from quern.llm.decontaminate import contaminated
+from quern.llm.language_id import fit_language_model, language_filter
+from quern.llm.mixing import Mix
+from quern.llm.simhash import near_duplicates
+from quern.llm.token_output import training_order
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go: no letter, or a calibrated probability under the model's limit."""
+    return language_filter(docs, fit_language_model(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each near-duplicate component the document with the smallest id stays."""
+    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised or not, go."""
+    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes the block in which they begin; copies stand far apart in a partition."""
+    copies = Mix(docs).copies().withColumnRenamed("doc_id", "taken_id")
+    taken = docs.join(copies, F.col("doc_id") == F.col("taken_id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.sortWithinPartitions("__copy", F.xxhash64("doc_id", "__copy")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids in training order, in shards; the rows are their index."""
+    return training_order(docs)
+
+
+STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("token_output", tokens)]
+
+#: The stages train a model and link fingerprints, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result but the last is written to the shared folder and read again."""
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{name}")
+    return docs
+
+
 def queries():
-    return {}
+    return {"pipeline": run}
 
 
 def oracle_sql():
-    return {}
+    return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

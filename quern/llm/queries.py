@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.common import documents
+from quern.llm.decontaminate import contaminated
 from quern.llm.language_id import fit_language_model, predict_languages
 from quern.llm.mixing import mix_sources
 from quern.llm.quality_model import fit_quality_model, quality_scores
@@ -11,6 +12,7 @@ from quern.llm.secrets import secret_digest
 from quern.llm.simhash import near_duplicates
 from quern.llm.substring_dedup import substring_dedup
 from quern.llm.suffix_dedup import suffix_dedup
+from quern.llm.token_output import training_order
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -40,11 +42,21 @@ def op5_simhash_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_decontaminate(spark, sf_dir):
+    """Whole documents that hold a benchmark item, by template windows."""
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_secret_scans(spark, sf_dir):
     """Secret spans of every whole document."""
     return secret_digest(documents(spark, sf_dir))
 
 
+def op8_token_output(spark, sf_dir):
+    """Index of the sequences of all documents, written to shards in training order."""
+    return training_order(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark, sf_dir):
     """Counts and verdict of every document: whole texts, hosts are the documents' sources."""
     return quality_rules(documents(spark, sf_dir)).select(
