@@ -23,7 +23,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", ske
     """
     first, several, spans = repeated_span_plan(docs, key, text, WordUnits, "op2", lambda place, at: place != at, sketch_bits)
     mixed = first.join(several, "h").select("first.doc_id", "first.lo", "first.n")
-    windows = window_rows(with_spans(docs, key, text, mixed).filter("spans is not null"), WordUnits)
+    windows = window_rows(with_spans(docs, key, text, mixed), WordUnits)
     leading = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
     leading = leading.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lead")
     single = windows.join(leading, (windows.h1 == leading.g1) & (windows.h2 == leading.g2) & (F.struct("doc_id", "lo") != F.col("lead")))
