@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational"]
+MODULES = ["relational", "temporal", "curation", "textual", "metrics"]
 
 
 @dataclass(frozen=True)

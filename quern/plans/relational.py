@@ -644,7 +644,7 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id", F.when(b < 8, "test").when(b < 40, "train").otherwise("unused").alias("split"))
 
 
-@q("f12_rounding", "SELECT n_nationkey, round(n_nationkey * 0.5, 0) AS half_up, round_even(n_nationkey * 0.5, 0) AS half_even FROM nation")
+@q("f12_rounding", "SELECT n_nationkey, round(n_nationkey * 0.5::DOUBLE, 0) AS half_up, round_even(n_nationkey * 0.5::DOUBLE, 0) AS half_even FROM nation")
 def _(s, d):
     x = F.col("n_nationkey") * F.lit(0.5)
     return t(s, d, "nation").select("n_nationkey", F.round(x, 0).alias("half_up"), F.bround(x, 0).alias("half_even"))
