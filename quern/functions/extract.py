@@ -7,9 +7,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def first_json(text: pd.Series) -> pd.Series:
     """The first balanced object of a text, strings and escapes honoured; not a regular language, so a vectorised UDF."""
 
