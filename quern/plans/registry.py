@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["relational", "temporal", "curation", "textual", "metrics", "weather"]
+MODULES = ["relational", "temporal", "curation", "textual", "metrics", "weather", "connectors"]
 
 
 @dataclass(frozen=True)
