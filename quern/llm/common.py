@@ -60,7 +60,11 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: Bytes of a slice: whole arrays over it take about 150 times as much memory, so a worker stays under 200 MB.
+SLICE_BYTES = (1 << 20) - 1024
+
+
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [first, last) of a batch with their UTF-8 bytes and offsets, at most max_bytes each unless one text is longer."""
     array = batch.column(batch.schema.get_field_index(column))
     if array.null_count:

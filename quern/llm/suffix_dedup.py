@@ -137,9 +137,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", ske
     """
     first, several, spans = repeated_span_plan(docs, key, text, ByteUnits, "op10", lambda place, at: F.lit(True), sketch_bits)
     mixed = first.join(several, "h").select("first.doc_id", "first.lo", "first.n", (F.col("kinds") <= most_kinds).alias("few"))
-    few = segment_texts(with_spans(docs, key, text, mixed.filter("few")).filter("spans is not null"))
+    few = segment_texts(with_spans(docs, key, text, mixed.filter("few")))
     trees = interval_spans(few.repartition("h").sortWithinPartitions("h"))
-    windows = window_rows(with_spans(docs, key, text, mixed.filter("not few")).filter("spans is not null"), ByteUnits)
+    windows = window_rows(with_spans(docs, key, text, mixed.filter("not few")), ByteUnits)
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     single = windows.join(twice, (windows.h1 == twice.g1) & (windows.h2 == twice.g2), "left_semi").select("doc_id", "lo", F.lit(1).alias("n"))
     return spans.unionByName(trees).unionByName(single)
