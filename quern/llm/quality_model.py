@@ -54,15 +54,21 @@ class ByteNetwork:
             "c": np.zeros(1, np.float32),
         }
 
-    def blocks(self, text: np.ndarray, positions: int, places: bool = False):
-        """Largest response of each filter in each block and, for training, where."""
+    def blocks(self, text: np.ndarray, edge: np.ndarray, places: bool = False):
+        """Largest response of each filter in each block and, for training, where.
+
+        The last position of a row would see the next row's bytes and is left out; the one before it sees all of its own.
+        """
+        positions, final = int(edge[-1]) * BLOCK, edge[1:] * BLOCK - 1
         out = np.empty((positions // BLOCK, FILTERS), np.float32)
         where = np.empty((positions // BLOCK, FILTERS), np.int64) if places else None
         for first in range(0, positions, PART):
             n = min(PART, positions - first)
             part = self.p["e"][text[first * STRIDE : (first + n - 1) * STRIDE + WIDTH]]
             view = np.lib.stride_tricks.as_strided(part, (n, WIDTH * DIMENSIONS), (STRIDE * DIMENSIONS * 4, 4))
-            z = (view @ self.p["w"]).reshape(-1, BLOCK, FILTERS)
+            z = view @ self.p["w"]
+            z[final[slice(*np.searchsorted(final, [first, first + n]))] - first] = -np.inf
+            z = z.reshape(-1, BLOCK, FILTERS)
             at = slice(first // BLOCK, (first + n) // BLOCK)
             if places:
                 arg = z.argmax(axis=1)
@@ -75,7 +81,7 @@ class ByteNetwork:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         text, edge = padded(data, offsets)
-        pooled, _ = self.blocks(text, int(edge[-1]) * BLOCK)
+        pooled, _ = self.blocks(text, edge)
         first, last, row = chunk_bounds(edge)
         chunks = _reduce(np.maximum, pooled, first, last)
         rows = np.searchsorted(row, np.arange(len(offsets) - 1))
@@ -90,7 +96,7 @@ class ByteNetwork:
         data = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         text, edge = padded(data, offsets)
-        pooled, where = self.blocks(text, int(edge[-1]) * BLOCK, True)
+        pooled, where = self.blocks(text, edge, True)
         first, last, row = chunk_bounds(edge)
         grid = np.minimum(first[:, None] + np.arange(CHUNK_BLOCKS), last[:, None] - 1)
         best = pooled[grid].argmax(axis=1)
@@ -124,9 +130,17 @@ def _reduce(ufunc, values, first, last):
     return ufunc.reduceat(np.vstack([values, values[-1:]]), ends, axis=0)[::2]
 
 
-def train(texts: list[str], labels: list[int], share: float, epochs: int = 12, rate: float = 0.004, batch: int = 32, seed: int = 3) -> ByteNetwork:
+def train(texts: list[str], labels: list[int], share: float, epochs: int = 16, rate: float = 0.004, batch: int = 32, seed: int = 3) -> ByteNetwork:
     """Adam on the weighted log loss; rows are weighted so that label 1 has its share of all labelled rows."""
     net, rng = ByteNetwork(seed), np.random.default_rng(seed)
+    texts, labels = list(texts), list(labels)
+    # Short good texts are rare in a sample: every third good text also lends a snippet, which is good as well.
+    for t in [t for t, y in zip(texts, labels) if y == 1][::3]:
+        words = t.split()
+        if words:
+            at = int(rng.integers(len(words)))
+            texts.append(" ".join(words[at : at + int(rng.integers(1, 13))]))
+            labels.append(1)
     raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     y = np.array(labels, np.float32)
     if not len(y):
@@ -148,7 +162,7 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 12, r
     return net
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="quality", most_per_label: int = 700, seed: int = 11) -> ByteNetwork:
+def fit_quality_model(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="quality", most_per_label: int = 1500, seed: int = 11) -> ByteNetwork:
     """Fit on labelled rows that are not held out; most_per_label bounds the sample collected for each label.
 
     The sample is chosen from the narrow label table, so the documents are joined with at most
