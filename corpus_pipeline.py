@@ -25,20 +25,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the smallest id stays."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, re-parameterised or not, go."""
-    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes the block in which they begin; copies stand far apart in a partition."""
-    copies = Mix(docs).copies().withColumnRenamed("doc_id", "taken_id")
-    taken = docs.join(copies, F.col("doc_id") == F.col("taken_id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copies = Mix(docs).copies().select(F.col("doc_id").alias("__taken"), F.col("copies").alias("__copies"))
+    taken = docs.join(copies, docs["doc_id"] == copies["__taken"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.sortWithinPartitions("__copy", F.xxhash64("doc_id", "__copy")).select(*docs.columns)
 
 

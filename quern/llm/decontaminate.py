@@ -151,7 +151,8 @@ def contaminated(
     """doc_id, item_id, n_windows, item_windows, exact: documents that hold a benchmark item, re-parameterised or not.
 
     Windows of 8 template tokens (numbers, units and names are typed placeholders) are joined by hash; windows on
-    one diagonal of a document and an item count where every item value stands for one document value throughout.
+    one diagonal of a document and an item count where every item value stands for one document value throughout;
+    where values conflict, only windows with the item's own values count.
     A pair is put out when at least min_share of the item's windows are found; exact says that all slots agree.
     Items under 8 tokens are one window, items under 5 are not checked. Null texts and ids match nothing. Items
     that repeat are found each; rows that share an id are one document. A fixed bit filter of the benchmark's hashes
@@ -170,11 +171,14 @@ def contaminated(
     right = template_windows(chosen, lengths or [WINDOW], bits).withColumnRenamed("id", "doc_id")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
     joined = right.join(left, ["hash", "length"]).filter(F.size("slots") == F.size("item_slots")).withColumn("pairs", pairs)
-    runs = (
-        joined.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"))
-        .agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        .filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
+    literal = F.forall("pairs", lambda p: p["i"] == p["d"])
+    runs = joined.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+        F.collect_set("item_pos").alias("any_place"),
+        F.collect_set(F.when(literal, F.col("item_pos"))).alias("literal_place"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
+    runs = runs.withColumn("places", F.when(consistent, F.col("any_place")).otherwise(F.col("literal_place"))).filter(F.size("places") > 0)
     totals = left.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"))
     found = (
         runs.groupBy("doc_id", "item_id")
