@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import ship
+
 #: A word, in Java's and Python's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,6 +49,7 @@ def released(df: DataFrame) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
