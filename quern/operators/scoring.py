@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.windows import running_totals
+
 
 def outcome(truth: Column, predicted: Column) -> Column:
     """Five-way outcome of one field; NULL is an answer of its own (abstention)."""
@@ -63,8 +65,7 @@ def class_report(df: DataFrame, truth: str, predicted: str, labels: DataFrame |
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row, auc: Mann-Whitney with average ranks for ties, from counts by score (one row per distinct score)."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)
-    ranked = by.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = running_totals(by, [score], {"upto": "n"}).withColumn("before", F.col("upto") - F.col("n"))
     s = ranked.agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -72,8 +73,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row, ap: sum over distinct scores, falling, of the gain in recall times the precision."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    cum = by.withColumns({"tp": F.sum("p").over(w), "seen": F.sum("n").over(w)})
+    cum = running_totals(by.withColumn("__falling", -F.col(score)), ["__falling"], {"tp": "p", "seen": "n"})
     return cum.agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("ap"))
 
 

@@ -4,23 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def surrogate_ids(df: DataFrame, order: Sequence[str], name: str = "id", partitions: int | None = None) -> DataFrame:
-    """row_number() over a global order without one task for all rows.
+def _ranged(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
+    """Rows range-partitioned by the order, with their partition's number.
 
-    Rows are range-partitioned and sorted, numbered within partitions, and shifted by the sizes of the partitions
-    before; only one count per partition meets in one place. The order must end in a unique key.
+    Kept on disk, because it is read twice: a second evaluation could sample other bounds.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    numbered = ranged.withColumn("__row", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(sizes.withColumn("__before", before).drop("__n"), "__part").withColumn(name, (F.col("__row") + F.col("__before")).cast("long")).drop("__part", "__row", "__before")
+    return df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+
+
+def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, str], partitions: int | None = None) -> DataFrame:
+    """Adds, for each name and column of values, the column's sum over all rows up to and with this one in the order.
+
+    Totals of whole partitions meet in one place (a row each); rows are summed within their range. No window runs
+    over the whole table. The order must be total.
+    """
+    ranged = _ranged(df, order, partitions)
+    w = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("__part").agg(*[F.sum(c).alias(f"__s{k}") for k, c in enumerate(values.values())])
+    sums = sums.select("__part", *[F.coalesce(F.sum(f"__s{k}").over(earlier), F.lit(0)).alias(f"__b{k}") for k in range(len(values))])
+    local = ranged.withColumns({f"__l{k}": F.sum(c).over(w) for k, c in enumerate(values.values())}).join(sums, "__part")
+    return local.select(*df.columns, *[(F.col(f"__l{k}") + F.col(f"__b{k}")).alias(n) for k, n in enumerate(values)])
+
+
+def surrogate_ids(df: DataFrame, order: Sequence[str], name: str = "id", partitions: int | None = None) -> DataFrame:
+    """row_number() over a global order without one task for all rows: running totals of ones."""
+    one = running_totals(df.withColumn("__one", F.lit(1).cast("long")), order, {name: "__one"}, partitions)
+    return one.drop("__one")
 
 
 def run_segments(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:

@@ -81,11 +81,7 @@ def _(s, d):
 
 @q("x8_temporal_split", "SELECT event_id, CASE WHEN (row_number() OVER (ORDER BY ts, event_id) - 1) / (SELECT count(*) FROM events) >= 0.8 THEN 'test' ELSE 'train' END AS split FROM events")
 def _(s, d):
-    from quern.operators.windows import surrogate_ids
-
-    ev = t(s, d, "events").select("event_id", "ts")
-    n = ev.agg(F.count("*").alias("n"))
-    return surrogate_ids(ev, ["ts", "event_id"], "r").join(F.broadcast(n)).select("event_id", F.when((F.col("r") - 1) / F.col("n") >= 0.8, "test").otherwise("train").alias("split"))
+    return S.temporal_split(t(s, d, "events").select("event_id", "ts"), ["ts", "event_id"], 0.8).select("event_id", "split")
 
 
 @q("x9_group_folds", f"SELECT user_id, ({BUCKET.format('user_id')}) % 5 AS fold FROM (SELECT DISTINCT user_id FROM events)")
