@@ -19,8 +19,9 @@ GOLDEN_HIGH = (GOLDEN * (1 << 26)) % 1.0
 CHUNK = 1 << 16
 #: Words in a block, at most, and blocks of a source, at least (as far as it has words).
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 1024
-#: Documents in a bucket of a source's shuffled order, about.
-BUCKET_DOCS = 20_000
+#: Documents in a bucket of a source's shuffled order, about, and buckets of a source, at most: groups of one size,
+#: whatever a source's share, and few sums to add up in order.
+BUCKET_DOCS, MOST_BUCKETS = 500, 100_000
 
 
 def target_sizes(sizes: Sequence[int], weights: Sequence[float], most: float) -> list[float]:
@@ -108,13 +109,13 @@ class Mix:
         blocks = np.array([max(1, -(-s // b)) for s, b in zip(sizes, self.block_words)], np.int64)
         wanted = np.array([t * b / s if s else 0.0 for t, b, s in zip(self.targets, blocks, sizes)])
         slots = int(round(wanted.sum()))
-        table = [(i, r["source"], r["size"], self.targets[i], self.block_words[i]) for i, r in enumerate(found)]
-        self.sources = spark.createDataFrame(table, "source_no int, source_name string, source_size long, target double, block_words long")
+        buckets = [max(1, min(MOST_BUCKETS, r["docs"] // BUCKET_DOCS)) for r in found]
+        table = [(i, r["source"], r["size"], self.targets[i], self.block_words[i], buckets[i]) for i, r in enumerate(found)]
+        self.sources = spark.createDataFrame(table, "source_no int, source_name string, source_size long, target double, block_words long, buckets long")
         bounds = np.cumsum(wanted) / wanted.sum() if slots else np.ones(1)
         self.schedule = schedule(spark, slots, bounds, blocks, int(most))
         self.uses = self.schedule.groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-        buckets = max(1, max((r["docs"] for r in found), default=1) // BUCKET_DOCS)
-        bucket = F.floor((F.col("h") / 2.0**64 + 0.5) * buckets).cast("long")
+        bucket = F.floor((F.col("h") / 2.0**64 + 0.5) * F.col("buckets")).cast("long")
         rows = sized.join(self.sources, sized.source.eqNullSafe(F.col("source_name"))).withColumn("bucket", bucket)
         # Places in the shuffled order: sums by bucket first, so that a large source is not one window.
         sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
