@@ -56,13 +56,22 @@ def _spans(name: str, kind: str, order: int) -> Column:
     return F.coalesce(made, F.array().cast("array<struct<start:int,order:int,end:int,kind:string,m:string>>"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once: a transform over a one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _normal_sf(z: Column) -> Column:
     """Upper tail of the normal distribution (Abramowitz and Stegun 26.2.17), for z of either sign."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / 2.5066282746310002 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(x, t):
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        return F.exp(-x * x / 2) / 2.5066282746310002 * poly
+
+    def signed(x):
+        return _let(_let(1 / (1 + 0.2316419 * F.abs(x)), lambda t: tail(F.abs(x), t)), lambda p: F.when(x >= 0, p).otherwise(1 - p))
+
+    return _let(z, signed)
 
 
 def _encoding(token: Column) -> Column:
@@ -80,8 +89,7 @@ def _scored(token: Column) -> Column:
     correlation of the symbols' ranks, joined by Fisher's method (chi-squared on 6 degrees). Every step is linear
     in the token's length.
     """
-    # Lambdas bind each intermediate once: transform over a one-element array stands for a let.
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    let = _let
     alphabets = F.array(*[F.lit(a) for _, a, _ in ENCODINGS])
 
     def with_encoding(e):
@@ -113,18 +121,21 @@ def _scored(token: Column) -> Column:
                     z1 = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
                     p1 = _normal_sf(z1)
                     n1, n0 = m["high"], n - m["high"]
-                    mean_runs = 2 * n1 * n0 / n + 1
-                    var_runs = F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-9))
-                    p2 = F.when((n1 == 0) | (n0 == 0), F.lit(1e-12)).otherwise(2 * _normal_sf(F.abs(m["runs"] - mean_runs) / F.sqrt(var_runs)))
-                    mean = m["s"] / n
-                    var = F.greatest(m["ss"] - n * mean * mean, F.lit(1e-9))
-                    first = F.element_at(v, 1)
-                    cross = m["sx"] - mean * (2 * m["s"] - first - m["last"]) + (n - 1) * mean * mean
-                    z3 = (cross / var + 1 / n) * F.sqrt(n)
-                    p3 = 2 * _normal_sf(F.abs(z3))
+
+                    def by_runs(mean_runs):
+                        var_runs = F.greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), F.lit(1e-9))
+                        return 2 * _normal_sf(F.abs(m["runs"] - mean_runs) / F.sqrt(var_runs))
+
+                    p2 = F.when((n1 == 0) | (n0 == 0), F.lit(1e-12)).otherwise(let(2 * n1 * n0 / n + 1, by_runs))
+
+                    def by_correlation(mean):
+                        var = F.greatest(m["ss"] - n * mean * mean, F.lit(1e-9))
+                        cross = m["sx"] - mean * (2 * m["s"] - F.element_at(v, 1) - m["last"]) + (n - 1) * mean * mean
+                        return 2 * _normal_sf(F.abs((cross / var + 1 / n) * F.sqrt(n)))
+
+                    p3 = let(m["s"] / n, by_correlation)
                     floor = lambda p: F.ln(F.least(F.greatest(p, F.lit(1e-12)), F.lit(1.0)))
-                    half = -(floor(p1) + floor(p2) + floor(p3))
-                    p = F.exp(-half) * (1 + half + half * half / 2)
+                    p = let(-(floor(p1) + floor(p2) + floor(p3)), lambda half: F.exp(-half) * (1 + half + half * half / 2))
                     return F.struct(e.alias("encoding"), n.cast("int").alias("n"), F.greatest(p, F.lit(1e-30)).alias("p"))
 
                 return let(F.struct(moments.alias("m"), squares.alias("sq")), with_moments)
