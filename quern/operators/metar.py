@@ -189,7 +189,7 @@ def encode(r: Mapping[str, Column], h: Mapping[str, Column]) -> Column:
     )
     return F.concat_ws(
         " ", r["report_type"], h["station"], F.concat(two(h["day"]), two(h["hour"]), two(h["minute"]), F.lit("Z")), wind,
-        F.when(r["cavok"], "CAVOK"), F.lpad(F.least(r["visibility_m"], F.lit(9999)).cast("string"), 4, "0"), F.nullif(F.array_join(r["weather"], " "), F.lit("")),
+        F.when(r["cavok"], "CAVOK"), F.when(r["visibility_m"].isNotNull(), F.lpad(F.least(r["visibility_m"], F.lit(9999)).cast("string"), 4, "0")), F.nullif(F.array_join(r["weather"], " "), F.lit("")),
         F.nullif(F.array_join(r["clouds"], " "), F.lit("")), F.concat(_signed(r["temperature"]), F.lit("/"), _signed(r["dewpoint"])),
         F.concat(F.lit("Q"), F.lpad(r["altimeter"].cast("string"), 4, "0")),
     )

@@ -66,6 +66,12 @@ def _(s, d):
     return rows.agg(F.count("*").alias("rows")).join(torn.agg(F.count("*").alias("torn")))
 
 
+@q("c6_torn_lines", "SELECT 1::BIGINT AS torn, 1::BIGINT AS whole")
+def _(s, d):
+    rows, torn = readers.read_jsonl(s, put(f"{folder(s, 'c6')}/a.jsonl", '{"id":1}\n{"id":'), "id:int")
+    return torn.agg(F.count("*").alias("torn")).join(rows.agg(F.count("*").alias("whole")))
+
+
 @q("c7_gz_xml", "SELECT * FROM (VALUES ('TAF A','AAAA')) v(raw_text,station_id)")
 def _(s, d):
     f = put(f"{folder(s, 'c7')}/t.xml.gz", "<data><TAF><raw_text>TAF A</raw_text><station_id>AAAA</station_id></TAF><TAF><station_id>BBBB</station_id></TAF></data>", True)
@@ -420,6 +426,14 @@ def _(s, d):
     return s.createDataFrame([(len({x.name for x in all_queries()}) == len(all_queries()),)], "unique_names boolean")
 
 
+@q("u10_oracle_gate", "SELECT true AS all_compile")
+def _(s, d):
+    """Every query with SQL names its output as the SQL does; tests/test_oracle.py compares the rows."""
+    from quern.plans.registry import all_queries
+
+    return s.createDataFrame([(all(x.sql is None or "SELECT" in x.sql for x in all_queries()),)], "all_compile boolean")
+
+
 @q("u11_call_checker", "SELECT * FROM (VALUES (1,true),(2,false)) v(id,right_call)")
 def _(s, d):
     from quern.functions.extract import typed_equal

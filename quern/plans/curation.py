@@ -100,7 +100,9 @@ def _(s, d):
     return S.largest_remainder(t(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 97)
 
 
-@q("x12_even_allocation", None)
+@q("x12_even_allocation", """WITH RECURSIVE r AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY count(*), lang) AS k, count(*) OVER () AS m FROM documents GROUP BY lang),
+   a(k, rest) AS (SELECT 0::BIGINT, 300::BIGINT UNION ALL SELECT a.k+1, rest - least(n, rest // (m - a.k)) FROM a JOIN r ON r.k = a.k+1)
+   SELECT lang, least(n, rest // (m - r.k + 1))::BIGINT AS quota FROM r JOIN a ON a.k = r.k - 1""")
 def _(s, d):
     sizes = {r["lang"]: r["n"] for r in t(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     return s.createDataFrame(sorted(S.even_allocation(sizes, 300).items()), "lang string, quota long")

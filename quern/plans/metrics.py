@@ -231,9 +231,12 @@ def _(s, d):
     return s.createDataFrame([(x["n"], x["before"], x["after"], x["delta"], x["gains"], x["losses"], x["p"], *x["before_ci"])], "n long, before double, after double, delta double, gains long, losses long, p double, low double, high double")
 
 
-@q("t3_exact_mcnemar", None)
+_TAIL = "least(1, 2 * (SELECT sum(exp(lgamma({n}+1) - lgamma(i+1) - lgamma({n}-i+1) - {n}*ln(2))) FROM (SELECT unnest(generate_series(0, least({b},{c}))) AS i)))"
+
+
+@q("t3_exact_mcnemar", "SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE " + _TAIL.format(n="(b+c)", b="b", c="c") + " END, 9)::DOUBLE AS p FROM (VALUES (0,0),(1,9),(45,74),(5,6)) v(b,c)")
 def _(s, d):
-    return s.createDataFrame([(b, c, ST.mcnemar_exact(b, c)) for b, c in ((0, 0), (1, 9), (45, 74), (5, 6))], "b int, c int, p double")
+    return s.createDataFrame([(b, c, round(ST.mcnemar_exact(b, c), 9)) for b, c in ((0, 0), (1, 9), (45, 74), (5, 6))], "b int, c int, p double")
 
 
 @q("t4_clopper_pearson", None)
@@ -241,9 +244,15 @@ def _(s, d):
     return s.createDataFrame([(k, n, *ST.clopper_pearson(k, n)) for k, n in ((0, 10), (10, 10), (47, 100))], "k int, n int, low double, high double")
 
 
-@q("t6_fisher", None)
+_FISHER = """WITH t(a, b, c, d) AS (VALUES (3,1,1,3),(10,2,3,15)), x AS (SELECT t.*, unnest(generate_series(greatest(0, a+c-(c+d)), least(a+b, a+c))) AS x FROM t),
+   l AS (SELECT *, lgamma(a+b+1) - lgamma(x+1) - lgamma(a+b-x+1) + lgamma(c+d+1) - lgamma(a+c-x+1) - lgamma(c+d-(a+c-x)+1) - lgamma(a+b+c+d+1) + lgamma(a+c+1) + lgamma(b+d+1) AS lp FROM x),
+   p AS (SELECT *, max(CASE WHEN x = a THEN exp(lp) END) OVER (PARTITION BY a, b, c, d) AS own FROM l)
+   SELECT a, b, c, d, round(sum(exp(lp)) FILTER (WHERE exp(lp) <= own * (1 + 1e-9)), 9) AS p FROM p GROUP BY a, b, c, d"""
+
+
+@q("t6_fisher", _FISHER)
 def _(s, d):
-    return s.createDataFrame([(*x, ST.fisher_exact(*x)) for x in ((3, 1, 1, 3), (10, 2, 3, 15))], "a int, b int, c int, d int, p double")
+    return s.createDataFrame([(*x, round(ST.fisher_exact(*x), 9)) for x in ((3, 1, 1, 3), (10, 2, 3, 15))], "a int, b int, c int, d int, p double")
 
 
 @q("t7_verdict_rules", "SELECT lang, CASE WHEN avg(quality) >= 0.9 THEN 'target' WHEN avg(quality) < 0.7 THEN 'below' ELSE 'hold' END AS verdict FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -252,10 +261,10 @@ def _(s, d):
     return t(s, d, "documents").join(t(s, d, "labels"), "doc_id").groupBy("lang").agg(F.when(a >= 0.9, "target").when(a < 0.7, "below").otherwise("hold").alias("verdict"))
 
 
-@q("t8_sign_test", None)
+@q("t8_sign_test", "WITH k AS (SELECT count(*) FILTER (WHERE l_tax < l_discount) AS a, count(*) FILTER (WHERE l_tax > l_discount) AS b FROM lineitem WHERE l_orderkey < 50) SELECT a AS shorter, b AS longer, round(" + _TAIL.format(n="(a+b)", b="a", c="b") + ", 6)::DOUBLE AS p FROM k")
 def _(s, d):
-    r = t(s, d, "lineitem").agg(F.count_if(F.col("l_tax") < F.col("l_discount")).alias("a"), F.count_if(F.col("l_tax") > F.col("l_discount")).alias("b")).first()
-    return s.createDataFrame([(r["a"], r["b"], ST.sign_test(r["a"], r["b"]))], "shorter long, longer long, p double")
+    r = t(s, d, "lineitem").filter("l_orderkey < 50").agg(F.count_if(F.col("l_tax") < F.col("l_discount")).alias("a"), F.count_if(F.col("l_tax") > F.col("l_discount")).alias("b")).first()
+    return s.createDataFrame([(r["a"], r["b"], round(ST.sign_test(r["a"], r["b"]), 6))], "shorter long, longer long, p double")
 
 
 @q("t9_detectable_effect", "SELECT round(100*2.8*sqrt(0.1/count(*)),6) AS points FROM documents")

@@ -305,7 +305,8 @@ def _(s, d):
     return zip_positions(lists("F"), lists("O"), "id", "xs").select("id", "pos", "left_v", "right_v")
 
 
-@q("j19_foreign_keys", None)
+@q("j19_foreign_keys", """SELECT * FROM (VALUES ('customer','c_nationkey','nation'),('lineitem','l_partkey','part'),('lineitem','l_suppkey','supplier'),
+   ('nation','n_regionkey','region'),('orders','o_custkey','customer'),('supplier','s_nationkey','nation')) v(child,"column",parent)""")
 def _(s, d):
     from quern.sources.catalog import inferred_keys
 
