@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, materialise
+from quern.llm.common import documents, materialise, released
 from quern.llm.decontaminate import contaminated
 from quern.llm.language_id import fit_language_model, language_filter
 from quern.llm.mixing import Mix
@@ -54,12 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result but the last is written to the shared folder and read again."""
+    """All stages over the documents; each result but the last is written to the shared folder and read again, and goes
+    when the next one is written."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{name}")
+            released(before)
     return docs
 
 

@@ -36,16 +36,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
 
 
 def released(df: DataFrame) -> None:
-    """Delete the files of a materialised table that is no longer read."""
-    jvm = df.sparkSession._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quern-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete the files of a materialised table that nothing will read again; other tables are left alone."""
+    if path := getattr(df, "_quern_path", None):
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

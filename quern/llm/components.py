@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise
+from quern.llm.common import materialise, released
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges
     for _ in range(most_rounds):
-        now = materialise(_small_star(_large_star(now)), "components")
+        before, now = now, materialise(_small_star(_large_star(now)), "components")
+        if before is not edges:
+            released(before)
         parents = now.groupBy("b").agg(F.count("*").alias("n"))
         chained = now.select(F.col("a").alias("b")).distinct().join(now.select("b").distinct(), "b")
         if not parents.filter("n > 1").limit(1).count() and not chained.limit(1).count():
