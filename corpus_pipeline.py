@@ -36,7 +36,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes the block in which they begin; copies stand far apart in a partition."""
+    """Documents as often as the mix takes the block in which they begin; copies stand far apart in a partition. Rows
+    without an id or a word are left out."""
     copies = Mix(docs).copies().select(F.col("doc_id").alias("__taken"), F.col("copies").alias("__copies"))
     taken = docs.join(copies, docs["doc_id"] == copies["__taken"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.sortWithinPartitions("__copy", F.xxhash64("doc_id", "__copy")).select(*docs.columns)

@@ -176,3 +176,29 @@ def test_pipeline(spark, docs, model):
     ids = {i for r in rows for i in r["doc_ids"]}
     assert ids <= one - bad and len(ids) > 0.5 * len(one - bad)
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+
+
+def test_stages_on_odd_tables(spark, edge, clashing, repeated, empty, texts):
+    """Null, empty and long texts, repeated rows, clashing columns and no rows, through every stage but the last."""
+    import corpus_pipeline as P
+
+    for name, stage in P.STAGES[:4]:
+        one = stage(spark, edge, D)
+        assert one.columns == edge.columns
+        kept = sorted(r["doc_id"] for r in one.collect())
+        wide = stage(spark, clashing, D)
+        assert wide.columns == clashing.columns and sorted(r["doc_id"] for r in wide.collect()) == kept
+        twice = sorted(r["doc_id"] for r in stage(spark, repeated, D).collect())
+        # The language model is fitted anew on the repeated rows; rows that share an id still stay or go together.
+        assert name == "mix" or (all(twice.count(i) == 2 for i in twice) if name == "language_id" else twice == sorted(2 * kept))
+        assert stage(spark, empty, D).count() == 0
+        assert set(kept) <= set(texts) and len(set(kept)) > 10
+
+
+def test_null_ids_and_columns(spark):
+    import corpus_pipeline as P
+
+    rows = [(None, "some words of text here", None, None), (None, None, None, None), (1, "some other words of a text", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert P.near_dedup(spark, df, D).count() == 3 and P.decontaminate(spark, df, D).count() == 3
+    assert {r["doc_id"] for r in P.mix(spark, df, D).collect()} <= {1}
