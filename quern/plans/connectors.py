@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import gzip
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -26,61 +25,61 @@ def q(name, sql=None):
 
 
 def folder(s, label: str) -> str:
-    """A folder that executors share: under the checkpoint folder where one is set, else local (tests)."""
+    """A new folder that executors share: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
     base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = base.removeprefix("file://") if base and base.startswith("file:") else None
-    if base:
-        os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"quern-{label}-", dir=base)
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/quern-{label}-{uuid.uuid4().hex}"
 
 
-def put(path: str, text: str, packed: bool = False) -> str:
-    with (gzip.open(path, "wt") if packed else open(path, "w")) as f:
-        f.write(text)
-    return "file://" + path
+def put(s, uri: str, text: str, packed: bool = False) -> str:
+    """A small file, written through the store's own file system."""
+    path = s._jvm.org.apache.hadoop.fs.Path(uri)
+    out = path.getFileSystem(s._jsc.hadoopConfiguration()).create(path)
+    out.write(gzip.compress(text.encode()) if packed else text.encode())
+    out.close()
+    return uri
 
 
 @q("c2_gz_csv", "SELECT 3::BIGINT AS n, 30.5::DOUBLE AS total")
 def _(s, d):
     f = folder(s, "c2")
-    put(f"{f}/a.csv.gz", "station,raw,v\nA,x,10\nB,M,1\n", True)
-    put(f"{f}/b.csv.gz", "station,raw,v\nC,y,20.5\nD,z,\n", True)
-    df = readers.read_text_csv(s, "file://" + f, ["station", "raw", "v"]).filter("raw <> 'M'")
+    put(s, f"{f}/a.csv.gz", "station,raw,v\nA,x,10\nB,M,1\n", True)
+    put(s, f"{f}/b.csv.gz", "station,raw,v\nC,y,20.5\nD,z,\n", True)
+    df = readers.read_text_csv(s, f, ["station", "raw", "v"]).filter("raw <> 'M'")
     return df.agg(F.count("*").alias("n"), F.sum(F.col("v").try_cast("double")).alias("total"))
 
 
 @q("c3_csv_by_name", "SELECT * FROM (VALUES ('1','x',NULL),('2',NULL,'y')) v(a,b,c)")
 def _(s, d):
     f = folder(s, "c3")
-    return readers.read_csv_by_name(s, [[put(f"{f}/1.csv", "a,b\n1,x\n")], [put(f"{f}/2.csv", "a,c\n2,y\n")]])
+    return readers.read_csv_by_name(s, [[put(s, f"{f}/1.csv", "a,b\n1,x\n")], [put(s, f"{f}/2.csv", "a,c\n2,y\n")]])
 
 
 @q("c4_json_auto", "SELECT 2::BIGINT AS n, 3::BIGINT AS total")
 def _(s, d):
-    return readers.read_json_auto(s, put(f"{folder(s, 'c4')}/a.json", '{"a":1}\n{"a":2,"b":"x"}\n')).agg(F.count("*").alias("n"), F.sum("a").alias("total"))
+    return readers.read_json_auto(s, put(s, f"{folder(s, 'c4')}/a.json", '{"a":1}\n{"a":2,"b":"x"}\n')).agg(F.count("*").alias("n"), F.sum("a").alias("total"))
 
 
 @q("c5_jsonl", "SELECT 2::BIGINT AS rows, 1::BIGINT AS torn")
 def _(s, d):
-    rows, torn = readers.read_jsonl(s, put(f"{folder(s, 'c5')}/a.jsonl", '{"id":1,"t":"a"}\n\n{"id":2,"t":"b"}\n{"id":3,"t\n'), "id:int,t:string")
+    rows, torn = readers.read_jsonl(s, put(s, f"{folder(s, 'c5')}/a.jsonl", '{"id":1,"t":"a"}\n\n{"id":2,"t":"b"}\n{"id":3,"t\n'), "id:int,t:string")
     return rows.agg(F.count("*").alias("rows")).join(torn.agg(F.count("*").alias("torn")))
 
 
 @q("c6_torn_lines", "SELECT 1::BIGINT AS torn, 1::BIGINT AS whole")
 def _(s, d):
-    rows, torn = readers.read_jsonl(s, put(f"{folder(s, 'c6')}/a.jsonl", '{"id":1}\n{"id":'), "id:int")
+    rows, torn = readers.read_jsonl(s, put(s, f"{folder(s, 'c6')}/a.jsonl", '{"id":1}\n{"id":'), "id:int")
     return torn.agg(F.count("*").alias("torn")).join(rows.agg(F.count("*").alias("whole")))
 
 
 @q("c7_gz_xml", "SELECT * FROM (VALUES ('TAF A','AAAA')) v(raw_text,station_id)")
 def _(s, d):
-    f = put(f"{folder(s, 'c7')}/t.xml.gz", "<data><TAF><raw_text>TAF A</raw_text><station_id>AAAA</station_id></TAF><TAF><station_id>BBBB</station_id></TAF></data>", True)
+    f = put(s, f"{folder(s, 'c7')}/t.xml.gz", "<data><TAF><raw_text>TAF A</raw_text><station_id>AAAA</station_id></TAF><TAF><station_id>BBBB</station_id></TAF></data>", True)
     return readers.read_xml_rows(s, f, "TAF", ["raw_text", "station_id"], "raw_text")
 
 
 @q("c8_csv_preamble", "SELECT * FROM (VALUES ('M1','2')) v(raw_text,x)")
 def _(s, d):
-    f = put(f"{folder(s, 'c8')}/m.csv", "No errors\n2 results\nraw_text,x,x\nM1,1,2\n,3,4\n")
+    f = put(s, f"{folder(s, 'c8')}/m.csv", "No errors\n2 results\nraw_text,x,x\nM1,1,2\n,3,4\n")
     return readers.read_csv_after_preamble(s, f, "raw_text,", "raw_text")
 
 
@@ -158,14 +157,14 @@ def _(s, d):
 
 @q("k1_parquet_round_trip", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def _(s, d):
-    p = "file://" + folder(s, "k1") + "/t"
+    p = folder(s, "k1") + "/t"
     sinks.write_parquet(t(s, d, "orders").select("o_orderkey", "o_orderstatus"), p, ["o_orderstatus"])
     return s.read.parquet(p).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @q("k2_canonical_jsonl", """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
 def _(s, d):
-    p = "file://" + folder(s, "k2") + "/t"
+    p = folder(s, "k2") + "/t"
     sinks.write_jsonl(t(s, d, "nation"), p, "n_nationkey")
     return s.read.text(p)
 
@@ -177,13 +176,14 @@ def _(s, d):
 
 @q("k4_create_table_as", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def _(s, d):
-    sinks.create_table_as(t(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")), "quern_k4", ["l_returnflag"])
-    return s.table("quern_k4")
+    name = f"quern_k4_{uuid.uuid4().hex}"
+    sinks.create_table_as(t(s, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")), name, ["l_returnflag"])
+    return s.table(name)
 
 
 @q("k5_idempotent_overwrite", "SELECT count(*) AS n FROM region")
 def _(s, d):
-    p = "file://" + folder(s, "k5") + "/t"
+    p = folder(s, "k5") + "/t"
     for _ in range(2):
         sinks.write_parquet(t(s, d, "region"), p)
     return s.read.parquet(p).agg(F.count("*").alias("n"))
@@ -191,7 +191,7 @@ def _(s, d):
 
 @q("k6_append_checkpoint", "SELECT 2::BIGINT AS n")
 def _(s, d):
-    p = "file://" + folder(s, "k6") + "/t"
+    p = folder(s, "k6") + "/t"
     for model, ids in (("a", [1]), ("a", [2]), ("b", [3])):
         sinks.append_checkpoint(s.createDataFrame([(i,) for i in ids], "id int"), p, model=model)
     return sinks.read_checkpoint(s, p, model="a").agg(F.count("*").alias("n"))
@@ -205,7 +205,7 @@ def _(s, d):
 
 @q("k8_ledger", "SELECT * FROM (VALUES ('u1',5::BIGINT),('u2',7)) v(url,rows)")
 def _(s, d):
-    p = "file://" + folder(s, "k8") + "/l"
+    p = folder(s, "k8") + "/l"
     sinks.append_ledger(s, p, "u1", "00", 10, 5)
     sinks.append_ledger(s, p, "u2", "11", 20, 7)
     return s.read.json(p).select("url", "rows")
@@ -220,7 +220,7 @@ def _(s, d):
 
 
 def _stream_of(s, df, label):
-    p = "file://" + folder(s, label) + "/in"
+    p = folder(s, label) + "/in"
     df.write.parquet(p)
     from quern.streaming.jobs import parquet_stream
 
@@ -248,7 +248,7 @@ def _(s, d):
 def _(s, d):
     from quern.streaming.jobs import score_new
 
-    base = "file://" + folder(s, "r3")
+    base = folder(s, "r3")
     stream = _stream_of(s, t(s, d, "conversations").select("conv_id", "text"), "r3in")
     for k in range(2):  # the second run starts from nothing and still adds no row
         score_new(stream, "conv_id", lambda b: b.withColumn("score", F.length("text")), base + "/out", f"{base}/cp{k}").awaitTermination()
