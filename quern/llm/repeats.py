@@ -140,7 +140,7 @@ def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27, depth:
     The driver receives depth * 2**bits / 8 bytes (32 MB at the defaults) and broadcasts them.
     """
     bits = sketch_bits(docs, text, units, most_bits)
-    shards = min(SHARDS, 1 << bits)
+    shards = min(SHARDS, max(1, (1 << bits) >> 18))
     shift = bits - int(math.log2(shards))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27, depth:
     merged = parts.repartition(depth * shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary")
     size = max(1, (1 << shift) // 8)
     rows = [np.zeros(shards * size, np.uint8) for _ in range(depth)]
-    for shard, packed in merged.toLocalIterator():
+    for shard, packed in merged.collect():
         row, k = divmod(shard, shards)
         rows[row][k * size : (k + 1) * size] = np.frombuffer(packed, np.uint8)
     return Sketch(bits, rows)
