@@ -14,7 +14,7 @@ from quern.llm.common import documents, materialise, released
 from quern.llm.decontaminate import contaminated
 from quern.llm.language_id import fit_language_model, language_filter
 from quern.llm.mixing import Mix
-from quern.llm.simhash import near_duplicates
+from quern.llm.near_copies import near_copies
 from quern.llm.token_output import training_order
 
 
@@ -24,8 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id stays."""
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    """Of each component of near copies (op5's links, or five-word shingles at 0.8 and over) the document with the
+    smallest id stays."""
+    gone = near_copies(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
