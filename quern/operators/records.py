@@ -35,6 +35,18 @@ def stream_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], size
     return out.withColumns({"first_block": F.floor(F.col("start") / block).cast("long"), "last_block": F.floor((F.col("start") + F.col(size)) / block).cast("long")})
 
 
+def packed_blocks(df: DataFrame, order: Sequence[str], size: str, live: str, block: int) -> DataFrame:
+    """block, n_live: the blocks of one stream of all rows, an end token after each; a block without a live token and the
+    tail, which fills no block, are dropped. The end token of a live row with a token is live. The order must be total."""
+    from quern.operators.windows import running_totals
+
+    rows = running_totals(df.withColumn("__n", (F.col(size) + 1).cast("long")), order, {"__end": "__n"}).withColumn("__start", F.col("__end") - F.col("__n"))
+    parts = rows.withColumn("block", F.explode(F.sequence(F.expr(f"__start div {block}"), F.expr(f"(__end - 1) div {block}"))))
+    inside = F.least("__end", (F.col("block") + 1) * block) - F.greatest("__start", F.col("block") * block)
+    sums = parts.groupBy("block").agg(F.sum(inside).alias("__all"), F.sum(F.when(F.col(live) & (F.col(size) > 0), inside).otherwise(0)).alias("n_live"))
+    return sums.filter((F.col("__all") == block) & (F.col("n_live") > 0)).select("block", "n_live")
+
+
 def first_fit_decreasing(df: DataFrame, shard: str, key: str, size: str, capacity: int) -> DataFrame:
     """shard, key, size, bin: whole rows in bins of a capacity, largest first, ties by key; bin -1 where too long.
 

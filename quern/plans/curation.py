@@ -264,6 +264,24 @@ def _(s, d):
     return REC.stream_blocks(x, ["shard"], ["conv_id", "turn"], "n", 128).select("conv_id", "turn", "start", "first_block", "last_block")
 
 
+@q("g11_stream_blocks_whole", """WITH x AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text),'[a-z0-9]+')) AS n FROM conversations), y AS (SELECT conv_id, turn, n, sum(n+1) OVER (ORDER BY conv_id, turn) - n - 1 AS start FROM x)
+   SELECT conv_id, turn, start::BIGINT AS start, (start // 128)::BIGINT AS first_block, ((start + n) // 128)::BIGINT AS last_block FROM y""")
+def _(s, d):
+    from quern.operators.windows import running_totals
+
+    x = t(s, d, "conversations").select("conv_id", "turn", (F.size(X.tokens(F.col("text"))) + 1).cast("long").alias("n"))
+    y = running_totals(x, ["conv_id", "turn"], {"end": "n"}).withColumn("start", F.col("end") - F.col("n"))
+    return y.select("conv_id", "turn", "start", F.expr("start div 128").alias("first_block"), F.expr("(end - 1) div 128").alias("last_block"))
+
+
+@q("g11_packed_blocks", """WITH x AS (SELECT conv_id, turn, role='assistant' AS live, len(regexp_extract_all(lower(text),'[a-z0-9]+')) AS n FROM conversations), y AS (SELECT live, n, sum(n+1) OVER (ORDER BY conv_id, turn) - n - 1 AS start FROM x),
+   z AS (SELECT live AND n > 0 AS live, unnest(range(start::BIGINT, (start+n+1)::BIGINT)) // 128 AS block FROM y)
+   SELECT block::BIGINT AS block, count(*) FILTER (WHERE live) AS n_live FROM z GROUP BY 1 HAVING count(*) = 128 AND count(*) FILTER (WHERE live) > 0""")
+def _(s, d):
+    x = t(s, d, "conversations").select("conv_id", "turn", (F.col("role") == "assistant").alias("live"), F.size(X.tokens(F.col("text"))).cast("long").alias("n"))
+    return REC.packed_blocks(x, ["conv_id", "turn"], "n", "live", 128)
+
+
 @q("g12_ffd_packing", None)
 def _(s, d):
     x = t(s, d, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(X.tokens(F.col("text"))).alias("n"))
