@@ -63,6 +63,14 @@ def _(s, d):
     return T.weekly_totals(o, "day", F.col("o_totalprice")).select(F.col("week_end").cast("string").alias("week_end"), F.round("total", 2).alias("total"))
 
 
+@q("a37_weekly_resample_whole", """WITH w AS (SELECT CAST(o_orderdate AS DATE) + CAST((7 - isodow(o_orderdate)) % 7 AS INTEGER) AS week_end, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+   c AS (SELECT CAST(unnest(generate_series((SELECT min(week_end) FROM w)::TIMESTAMP, (SELECT max(week_end) FROM w)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end)
+   SELECT CAST(c.week_end AS VARCHAR) AS week_end, round(coalesce(total,0),2) AS total FROM c LEFT JOIN w USING (week_end)""")
+def _(s, d):
+    o = t(s, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return T.weekly_totals(o, "day", F.col("o_totalprice")).select(F.col("week_end").cast("string").alias("week_end"), F.round("total", 2).alias("total"))
+
+
 @q("l10_ordered_funnel", """WITH a AS (SELECT user_id, min(ts) AS t0 FROM events WHERE event_type='view' GROUP BY 1),
    b AS (SELECT a.user_id, min(e.ts) AS t1 FROM a JOIN events e ON e.user_id=a.user_id AND e.event_type='click' AND e.ts > t0 GROUP BY 1),
    c AS (SELECT b.user_id, min(e.ts) AS t2 FROM b JOIN events e ON e.user_id=b.user_id AND e.event_type='purchase' AND e.ts > t1 GROUP BY 1)

@@ -17,3 +17,8 @@ def test_stream_blocks_whole(spark):
 def test_packed_blocks_drop_masked_and_tail(spark):
     rows = spark.createDataFrame([(1, 9, False), (2, 4, True), (3, 8, False), (4, 1, True)], "id long, n long, live boolean")
     assert {tuple(r) for r in packed_blocks(rows, ["id"], "n", "live", 10).collect()} == {(1, 5)}
+
+
+def test_weekly_totals_hold_every_order(spark):
+    total = QUERIES["a37_weekly_resample_whole"].run(spark, D).agg(F.sum("total")).first()[0]
+    assert abs(total - spark.read.parquet(f"{D}/orders.parquet").agg(F.sum("o_totalprice")).first()[0]) < 10
