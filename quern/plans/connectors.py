@@ -395,6 +395,16 @@ def _(s, d):
     return s.createDataFrame([(value,)], "value double")
 
 
+@q("u4_engine_whole", "SELECT round(sum(c_acctbal),6)::DOUBLE AS value FROM customer")
+def _(s, d):
+    e = sql_tool.Engine(s)
+    e.setup()
+    e.load("u4_customer", t(s, d, "customer"))
+    value = e.scalar("SELECT sum(c_acctbal) FROM u4_customer")
+    e.teardown()
+    return s.createDataFrame([(value,)], "value double")
+
+
 @q("u5_read_only", "SELECT true AS refused")
 def _(s, d):
     return s.createDataFrame([(sql_tool.run_sql(s, "ATTACH 'x'").startswith("ERROR"),)], "refused boolean")

@@ -267,6 +267,12 @@ def _(s, d):
     return s.createDataFrame([(r["a"], r["b"], round(ST.sign_test(r["a"], r["b"]), 6))], "shorter long, longer long, p double")
 
 
+@q("t8_sign_test_whole", None)
+def _(s, d):
+    r = t(s, d, "lineitem").agg(F.count_if(F.col("l_tax") < F.col("l_discount")).alias("a"), F.count_if(F.col("l_tax") > F.col("l_discount")).alias("b")).first()
+    return s.createDataFrame([(r["a"], r["b"], round(ST.sign_test(r["a"], r["b"]), 6))], "shorter long, longer long, p double")
+
+
 @q("t9_detectable_effect", "SELECT round(100*2.8*sqrt(0.1/count(*)),6) AS points FROM documents")
 def _(s, d):
     n = t(s, d, "documents").count()

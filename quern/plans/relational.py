@@ -281,6 +281,17 @@ def _(s, d):
     return test.join(found, keys, "left").agg(F.count("hit").alias("leaked"), (F.count("hit") > 0.01 * F.count("*")).alias("fails"))
 
 
+@q("j13_multi_key_leak_whole", """WITH test AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0)
+   SELECT count(*) AS leaked, count(*) > 0.01 * (SELECT count(*) FROM test) AS fails FROM test WHERE EXISTS (SELECT 1 FROM lineitem x WHERE
+   x.l_orderkey=test.l_orderkey AND x.l_partkey=test.l_partkey AND x.l_suppkey=test.l_suppkey AND x.l_quantity=test.l_quantity AND x.l_shipdate=test.l_shipdate)""")
+def _(s, d):
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
+    line = t(s, d, "lineitem").select(*keys)
+    test = line.filter("l_orderkey % 10 = 0").distinct()
+    found = line.distinct().withColumn("hit", F.lit(1))
+    return test.join(found, keys, "left").agg(F.count("hit").alias("leaked"), (F.count("hit") > 0.01 * F.count("*")).alias("fails"))
+
+
 @q("j15_orphan_check", "SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS joined, count(*) FILTER (WHERE l.doc_id IS NULL) AS orphans FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(s, d):
     j = t(s, d, "documents").select("doc_id").join(t(s, d, "labels").select(F.col("doc_id").alias("lid")), F.col("doc_id") == F.col("lid"), "left")

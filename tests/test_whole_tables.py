@@ -22,3 +22,12 @@ def test_packed_blocks_drop_masked_and_tail(spark):
 def test_weekly_totals_hold_every_order(spark):
     total = QUERIES["a37_weekly_resample_whole"].run(spark, D).agg(F.sum("total")).first()[0]
     assert abs(total - spark.read.parquet(f"{D}/orders.parquet").agg(F.sum("o_totalprice")).first()[0]) < 10
+
+
+def test_sign_leak_and_engine_whole(spark):
+    line = spark.read.parquet(f"{D}/lineitem.parquet")
+    r = QUERIES["t8_sign_test_whole"].run(spark, D).first()
+    assert r["shorter"] + r["longer"] == line.filter("l_tax <> l_discount").count() and 0 <= r["p"] <= 1
+    leak = QUERIES["j13_multi_key_leak_whole"].run(spark, D).first()
+    assert leak["leaked"] == line.filter("l_orderkey % 10 = 0").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").distinct().count()
+    assert abs(QUERIES["u4_engine_whole"].run(spark, D).first()[0] - spark.read.parquet(f"{D}/customer.parquet").agg(F.sum("c_acctbal")).first()[0]) < 1e-3
