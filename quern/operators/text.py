@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.grams import gram_filter, gram_rows
+
 
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII alphanumeric tokens."""
@@ -17,9 +19,17 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
 
 
-def gram_table(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, gram: one row per distinct n-gram of a text."""
-    return df.withColumn("__w", tokens(F.col(text))).select(F.col(key), F.explode(ngrams(F.col("__w"), n)).alias("gram"))
+def item_grams(items: DataFrame, item: str, text: str = "text", n: int = 13) -> DataFrame:
+    """item, gram, h: one row per distinct n-gram of an item."""
+    return gram_rows(items, item, text, n).dropDuplicates([item, "gram"])
+
+
+def matching_grams(texts: DataFrame, grams: DataFrame, key: str, text: str = "text", n: int = 13) -> DataFrame:
+    """key, gram: the distinct n-grams of the texts that may be among the items' grams.
+
+    A filter of fixed size keeps the other grams inside their task; a join on the gram's text stands behind it.
+    """
+    return gram_rows(texts, key, text, n, gram_filter(grams)).select(key, "gram").distinct()
 
 
 def overlap(texts: DataFrame, items: DataFrame, key: str, item: str, text: str = "text", n: int = 13) -> DataFrame:
@@ -28,9 +38,9 @@ def overlap(texts: DataFrame, items: DataFrame, key: str, item: str, text: str =
     The join is on the grams' text, so there are no hash collisions; Spark broadcasts the items' grams only where
     their measured size is under its threshold. One row leaves per text and item that share a gram.
     """
-    right = gram_table(items, item, text, n)
+    right = item_grams(items, item, text, n)
     sizes = right.groupBy(item).agg(F.count("*").alias("item_grams"))
-    shared = gram_table(texts, key, text, n).join(right, "gram").groupBy(key, item).agg(F.count("*").alias("shared"))
+    shared = matching_grams(texts, right, key, text, n).join(right.select(item, "gram"), "gram").groupBy(key, item).agg(F.count("*").alias("shared"))
     return shared.join(sizes, item).select(key, item, "shared", "item_grams")
 
 

@@ -212,8 +212,8 @@ def _(s, d):
 
 @q("g3_any_shared_gram", f"WITH {GRAMS} SELECT DISTINCT doc_id FROM ov")
 def _(s, d):
-    right = X.gram_table(t(s, d, "benchmark"), "item_id", "text", 13).select("gram").distinct()
-    return X.gram_table(t(s, d, "documents"), "doc_id", "text", 13).join(right, "gram", "left_semi").select("doc_id").distinct()
+    right = X.item_grams(t(s, d, "benchmark"), "item_id")
+    return X.matching_grams(t(s, d, "documents"), right, "doc_id").join(right, "gram", "left_semi").select("doc_id").distinct()
 
 
 @q("g4_strong_overlap", f"WITH {GRAMS} SELECT doc_id, max(CASE WHEN 5*shared >= item_grams THEN 1 ELSE 0 END) = 1 AS rejected FROM ov JOIN sz USING (item_id) GROUP BY 1")
@@ -230,8 +230,8 @@ def _(s, d):
 
 @q("g6_item_scan", f"WITH {GRAMS}, h AS (SELECT bg.item_id, count(DISTINCT gram) AS hit FROM bg JOIN dg USING (gram) GROUP BY 1) SELECT count(*) AS items, count(hit) AS any_, count(*) FILTER (WHERE 5*hit >= item_grams) AS strong FROM sz LEFT JOIN h USING (item_id)")
 def _(s, d):
-    grams = X.gram_table(t(s, d, "benchmark"), "item_id", "text", 13)
-    seen = X.gram_table(t(s, d, "documents"), "doc_id", "text", 13).select("gram").distinct().withColumn("hit", F.lit(1))
+    grams = X.item_grams(t(s, d, "benchmark"), "item_id")
+    seen = X.matching_grams(t(s, d, "documents"), grams, "doc_id").select("gram").distinct().withColumn("hit", F.lit(1))
     per = grams.join(seen, "gram", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("hit").alias("hit"))
     return per.agg(F.count("*").alias("items"), F.count_if(F.col("hit") > 0).alias("any_"), F.count_if((5 * F.col("hit") >= F.col("n")) & (F.col("hit") > 0)).alias("strong"))
 

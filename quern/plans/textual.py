@@ -50,7 +50,7 @@ def _(s, d):
 
 @q("f16_ngrams", "WITH w AS (SELECT item_id, regexp_extract_all(lower(text),'[a-z0-9]+') AS w FROM benchmark) SELECT DISTINCT item_id, array_to_string(w[i:i+12],' ') AS gram FROM (SELECT item_id, w, unnest(range(1,len(w)-11)) AS i FROM w WHERE len(w)>=13)")
 def _(s, d):
-    return X.gram_table(t(s, d, "benchmark"), "item_id", "text", 13)
+    return X.item_grams(t(s, d, "benchmark"), "item_id").select("item_id", "gram")
 
 
 @q("f17_approx_tokens", "SELECT conv_id, round_even(sum(length(text))/3.5,0)::BIGINT AS n FROM conversations GROUP BY 1")

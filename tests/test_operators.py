@@ -216,3 +216,27 @@ def test_learners_pass_their_bars(spark, name):
     from quern.plans import connectors
 
     assert {q.name: q for q in connectors.QUERIES}[name].run(spark, "").first()[0]
+
+
+def test_gram_rows_of_long_and_odd_texts(spark, monkeypatch):
+    """Grams of texts over a part, with clashing rows, nulls and short texts, against a plain loop."""
+    import random
+    import re
+
+    from quern.operators import grams as G
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeXY09") for _ in range(rng.randint(1, 6)))
+    rows = [(1, " ".join(word() for _ in range(4000))), (2, None), (3, ""), (4, "a b c"), (5, "a-b c_d, é e f g" * 30), (6, "x" * 9000)]
+    n = 4
+    wanted = {(k, " ".join(w[i : i + n])) for k, text in rows for w in [re.findall("[a-z0-9]+", (text or "").lower())] for i in range(len(w) - n + 1)}
+    df = spark.createDataFrame(rows, "id int, text string").repartition(1)
+    assert {(r["id"], r["gram"]) for r in G.gram_rows(df, "id", "text", n).collect()} == wanted
+    column = [memoryview(text.lower().encode()) for _, text in rows[:1]]
+    monkeypatch.setattr(G, "PART", 500)
+    found = set()
+    for data in G._parts(column[0], n):
+        w = re.findall("[a-z0-9]+", data.tobytes().decode())
+        found |= {" ".join(w[i : i + n]) for i in range(1, len(w) - n)}
+    whole = re.findall("[a-z0-9]+", rows[0][1].lower())
+    assert found >= {" ".join(whole[i : i + n]) for i in range(1, len(whole) - n)}
