@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the session names none (tests)."""
+    """The folder all executors share; a local one only where none is named and executors are threads of the driver (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -63,7 +66,12 @@ def is_held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-#: Bytes of a slice: whole arrays over it take about 150 times as much memory, so a worker stays under 200 MB.
+def text_mark(text) -> F.Column:
+    """Tells apart the texts of rows that share an id."""
+    return F.hash(text)
+
+
+#: Bytes of a slice: whole arrays over it take about 50 times as much memory, so a worker stays under 200 MB.
 SLICE_BYTES = (1 << 20) - 1024
 
 
@@ -131,6 +139,24 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash of every word, by blocks of bytes, so that one word of many megabytes needs no array of its length."""
+    if len(data) <= 2 * SLICE_BYTES:
+        return span_hash(byte_prefix(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    total = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(data), SLICE_BYTES):
+        b = min(len(data), a + SLICE_BYTES)
+        prefix = byte_prefix(data[a:b])
+        _, down = BYTES.get(len(prefix))
+        some = slice(np.searchsorted(ends, a, "right"), np.searchsorted(starts, b))
+        lo, hi = np.maximum(starts[some], a) - a, np.minimum(ends[some], b) - a
+        part = (prefix[hi] - prefix[lo]) * down[lo]
+        if len(part) and starts[some][0] < a:
+            part[:1] *= np.uint64(pow(BYTES.base, int(a - starts[some][0]), 1 << 64))
+        total[some] += part
+    return mix(total + (ends - starts).astype(np.uint64))
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word and the row it belongs to; words never cross rows."""
     if not len(data):

@@ -10,15 +10,17 @@ representative per (H, C) suffices. This shuffles one narrow row per segment ins
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import (
     BYTES,
+    IS_SPACE,
+    SLICE_BYTES,
     WINDOWS,
     WINDOWS2,
     byte_prefix,
@@ -27,25 +29,52 @@ from quern.llm.common import (
     sequence_hashes,
     sliding_argmin,
     span_hash,
+    text_mark,
     text_slices,
     valid_windows,
+    word_hashes,
     words_of,
 )
 
-SEGMENT_FIELDS = "doc_id long, lo int, n int, h long, c long"
+SEGMENT_FIELDS = "doc_id long, mark int, lo int, n int, h long, c long"
 #: Shards of a sketch row: the unit in which partition sketches are merged.
 SHARDS = 64
 
 
 class WordUnits:
-    """Words of a slice as units: k-gram hashes, segment hashes and both window hashes."""
+    """Words of a slice as units: k-gram hashes, segment hashes and both window hashes.
+
+    parts() gives a long text in parts cut at white space, each with the number of words before it.
+    """
 
     length, k = 20, 8
 
     def __init__(self, data, offsets):
+        self.data = data
         self.starts, self.ends, rows = words_of(data, offsets)
         self.offsets = np.searchsorted(rows, np.arange(len(offsets)))
-        self.values = span_hash(byte_prefix(data), self.starts, self.ends) if len(self.starts) else np.zeros(0, np.uint64)
+        self.values = word_hashes(data, self.starts, self.ends)
+
+    @classmethod
+    def parts(cls, data):
+        at = base = 0
+        while True:
+            width = SLICE_BYTES
+            while True:
+                until = min(len(data), at + width)
+                while until < len(data) and not (space := IS_SPACE[data[until : until + SLICE_BYTES]]).any():
+                    until = min(len(data), until + SLICE_BYTES)
+                if until < len(data):
+                    until += int(space.argmax())
+                u = cls(data[at:until], np.array([0, until - at]))
+                if until == len(data) or len(u.starts) >= 2 * cls.length:
+                    break
+                width *= 2
+            yield u, base
+            if until == len(data):
+                return
+            step = len(u.starts) - cls.length + 1
+            base, at = base + step, at + int(u.starts[step])
 
     def grams(self):
         return sequence_hashes(self.values, self.k, WINDOWS2)
@@ -55,12 +84,18 @@ class WordUnits:
 
 
 class ByteUnits:
-    """Bytes of a slice as units."""
+    """Bytes of a slice as units; parts() gives a long text in parts, each with the number of bytes before it."""
 
     length, k = 200, 32
 
     def __init__(self, data, offsets):
-        self.offsets, self.prefix = offsets, byte_prefix(data)
+        self.data, self.offsets, self.prefix = data, offsets, byte_prefix(data)
+
+    @classmethod
+    def parts(cls, data):
+        for at in range(0, max(1, len(data) - cls.length + 1), SLICE_BYTES):
+            part = data[at : at + SLICE_BYTES + cls.length - 1]
+            yield cls(part, np.array([0, len(part)])), at
 
     def grams(self):
         n = len(self.prefix) - self.k
@@ -73,6 +108,21 @@ class ByteUnits:
         return span_hash(self.prefix, start, end)
 
 
+def unit_slices(batch: pa.RecordBatch, units) -> Iterator[tuple]:
+    """(first, last, units, base) of the rows [first, last) of a batch; base units of a long row stand before.
+
+    A text longer than a slice comes in parts that share length - 1 units, so each of its windows stands in one part.
+    Parts depend on the text alone, so equal texts have equal segments; segments cut at the edge of a part differ from
+    uncut ones in C only, and are compared by windows or bytes like others that share an anchor.
+    """
+    for first, last, data, offsets in text_slices(batch, "text"):
+        if len(data) <= SLICE_BYTES:
+            yield first, last, units(data, offsets), 0
+        else:
+            for u, base in units.parts(data):
+                yield first, last, u, base
+
+
 def _run_hash(values, start, end):
     up, down = WINDOWS.get(len(values) + 1)
     prefix = np.empty(len(values) + 1, np.uint64)
@@ -145,8 +195,8 @@ def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27, depth:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch, "text"):
-                h = segments(units(data, offsets))[4]
+            for _, _, u, _ in unit_slices(batch, units):
+                h = segments(u)[4]
                 for row in range(depth):
                     cells, counts = np.unique(Sketch.cells(h, row, bits), return_counts=True)
                     cells = cells.astype(np.uint32)
@@ -190,57 +240,74 @@ def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27, depth:
     return Sketch(bits, rows)
 
 
+def marked_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, mark, text: a row is named by its id and its text, so rows that share an id keep apart."""
+    return docs.select(F.col(key).cast("long").alias("doc_id"), text_mark(F.col(text)).alias("mark"), F.col(text).alias("text"))
+
+
 def segment_table(docs: DataFrame, key: str, text: str, units, sketch: Sketch) -> DataFrame:
     """Segments of all documents whose anchors the sketch estimates to be repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, data, offsets in text_slices(batch, "text"):
-                u = units(data, offsets)
+            ids, marks = batch.column(0), batch.column(1)
+            for first, last, u, base in unit_slices(batch, units):
                 row, lo, n, _, h, c = segments(u)
                 keep = np.flatnonzero(shared.value.repeated(h))
                 row, lo, n, h, c = row[keep], lo[keep], n[keep], h[keep], c[keep]
+                rows = pa.array(row)
                 yield pa.record_batch(
                     {
-                        "doc_id": ids.slice(first, last - first).take(pa.array(row)),
-                        "lo": pa.array((lo - u.offsets[row]).astype(np.int32)),
+                        "doc_id": ids.slice(first, last - first).take(rows),
+                        "mark": marks.slice(first, last - first).take(rows),
+                        "lo": pa.array((lo - u.offsets[row] + base).astype(np.int32)),
                         "n": pa.array(n.astype(np.int32)),
                         "h": pa.array(h.view(np.int64)),
                         "c": pa.array(c.view(np.int64)),
                     }
                 )
 
-    chosen = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, SEGMENT_FIELDS)
+    return marked_texts(docs.filter(F.col(key).isNotNull()), key, text).mapInArrow(run, SEGMENT_FIELDS)
 
 
 def grouped_segments(table: DataFrame, label: str) -> DataFrame:
-    """One row per (h, c): how often it occurs, its first place, and whether h has another c.
+    """h, c, copies, first: one row per (h, c) with how often it occurs and its first place (doc_id, lo, n, mark)."""
+    return materialise(table.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "n", "mark")).alias("first")), label)
 
-    Both counts are formed in part before their shuffles; the join on h lets Spark split a hot h.
-    """
-    first = table.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "n")).alias("first"))
-    first = materialise(first, label)
-    several = first.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    return first, several
+
+def kinds_of(first: DataFrame) -> DataFrame:
+    """h, kinds of the anchors that have more than one kind of segment; counted in part before the shuffle."""
+    return first.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
 
 
 def with_spans(docs: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:
-    """Documents with the array of their spans (lo, n), null where none."""
-    listed = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    left = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return left.join(listed, left.doc_id == listed["__id"], "left").drop("__id")
+    """doc_id, mark, text and the set of spans (lo, n) of every row, null where none."""
+    listed = spans.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    left = marked_texts(docs, key, text)
+    return left.join(listed, (left.doc_id == listed["__id"]) & (left.mark == listed["__mark"]), "left").drop("__id", "__mark")
 
 
 def span_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, lo and n of all spans of a list<struct<lo, n>> column."""
+    """Row, lo and n of all spans of a list<struct<lo, n>> column, by row and lo."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.asarray(column.value_lengths().fill_null(0), dtype=np.int64)
     flat = column.flatten()
-    return np.repeat(np.arange(len(column)), lengths), np.asarray(flat.field(0), dtype=np.int64), np.asarray(flat.field(1), dtype=np.int64)
+    row, lo, n = np.repeat(np.arange(len(column)), lengths), np.asarray(flat.field(0), dtype=np.int64), np.asarray(flat.field(1), dtype=np.int64)
+    order = np.lexsort((lo, row))
+    return row, lo[order], n[order]
+
+
+def covered(begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of the maximal runs that spans cover; spans come by row and begin, and runs stay within a row."""
+    if not len(begin):
+        return begin, end, row
+    top = np.maximum.accumulate(end)
+    fresh = np.ones(len(begin), bool)
+    fresh[1:] = (begin[1:] > top[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(fresh)
+    return begin[at], top[np.append(at[1:] - 1, len(end) - 1)], row[at]
 
 
 def window_rows(docs_with_spans: DataFrame, units) -> DataFrame:
@@ -248,50 +315,32 @@ def window_rows(docs_with_spans: DataFrame, units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            span_row, span_lo, span_n = span_arrays(batch.column(2))
-            ids = batch.column(0)
-            for first, last, data, offsets in text_slices(batch, "text"):
+            span_row, span_lo, span_n = span_arrays(batch.column(3))
+            ids, marks = batch.column(0), batch.column(1)
+            for first, last, u, base in unit_slices(batch, units):
                 mine = slice(*np.searchsorted(span_row, [first, last]))
-                row, lo, n = span_row[mine] - first, span_lo[mine], span_n[mine]
+                row = span_row[mine] - first
+                begin = np.maximum(span_lo[mine] - base, 0) + u.offsets[row]
+                end = np.minimum(span_lo[mine] + span_n[mine] - base + u.offsets[row], u.offsets[row + 1] - u.length + 1)
+                fits = begin < end
+                row, begin, n = row[fits], begin[fits], (end - begin)[fits]
                 if not len(row):
                     continue
-                u = units(data, offsets)
-                begin = u.offsets[row] + lo
-                fits = begin + n - 1 + u.length <= u.offsets[row + 1]
-                row, lo, n, begin = row[fits], lo[fits], n[fits], begin[fits]
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(begin, n) + inner
-                one = u.spans(start, start + u.length)
-                two = second_hash(u, start)
+                start = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows = pa.array(np.repeat(row, n))
                 yield pa.record_batch(
                     {
-                        "doc_id": ids.slice(first, last - first).take(pa.array(np.repeat(row, n))),
-                        "lo": pa.array((np.repeat(lo, n) + inner).astype(np.int32)),
-                        "h1": pa.array(one.view(np.int64)),
-                        "h2": pa.array(two.view(np.int64)),
+                        "doc_id": ids.slice(first, last - first).take(rows),
+                        "mark": marks.slice(first, last - first).take(rows),
+                        "lo": pa.array((start - u.offsets[np.asarray(rows)] + base).astype(np.int32)),
+                        "h1": pa.array(u.spans(start, start + u.length).view(np.int64)),
+                        "h2": pa.array(second_hash(u, start).view(np.int64)),
                     }
                 )
 
-    return docs_with_spans.mapInArrow(run, "doc_id long, lo int, h1 long, h2 long")
+    return docs_with_spans.mapInArrow(run, "doc_id long, mark int, lo int, h1 long, h2 long")
 
 
 def second_hash(units, start: np.ndarray) -> np.ndarray:
-    """A hash of windows independent of spans(): another base, and for bytes other byte values."""
-    if isinstance(units, WordUnits):
-        return sequence_hashes(units.values, units.length, WINDOWS2)[start]
-    third = units.length // 4
-    parts = np.stack([units.spans(start + k * third, start + (k + 1) * third) for k in range(4)])
-    return mix(mix(mix(parts[0]) * np.uint64(3) + parts[1]) * np.uint64(5) + mix(parts[2] + mix(parts[3])))
-
-
-def repeated_span_plan(docs: DataFrame, key: str, text: str, units, label: str, later: Callable[[Column, Column], Column], most_bits: int):
-    """(first, several, spans): grouped segments, anchors of several kinds, and spans of whole repeated segments.
-
-    later(place, first) says which occurrences of a repeated segment are spans.
-    """
-    table = segment_table(docs, key, text, units, build_sketch(docs, text, units, most_bits))
-    first, several = grouped_segments(table, label)
-    twice = first.filter("copies > 1").select(F.col("h").alias("gh"), F.col("c").alias("gc"), "first")
-    place = F.struct("doc_id", "lo", "n")
-    spans = table.join(twice, (table.h == twice.gh) & (table.c == twice.gc) & later(place, F.col("first"))).select("doc_id", "lo", "n")
-    return first, several, spans
+    """A hash of word windows independent of spans(): another base."""
+    return sequence_hashes(units.values, units.length, WINDOWS2)[start]

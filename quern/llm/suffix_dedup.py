@@ -1,8 +1,14 @@
 """Suffix-array dedup: bytes covered by 200-byte strings that also stand elsewhere, from an interval tree.
 
 The suffixes sorted are those at content-defined anchors (see repeats): a 200-byte string and its copies hold the
-same anchor at the same offset, so each anchor's suffixes form a suffix array of their own and the arrays of
-different anchors are built in different tasks.
+same anchor at the same offset, so each anchor's suffixes form a suffix array of their own, and the arrays of
+different anchors are built in different tasks. Segments equal in all bytes are one leaf that counts its copies.
+
+An anchor that very many different segments hold (the edge of a passage that many documents share) has too large an
+array for one task. It is cut along the tree: strings are dealt by how many of their bytes stand before the anchor,
+and those of a range of such numbers by the bytes that all of them share, so equal strings stay in one array. A leaf
+of a cut array holds only the bytes that its range of strings can reach, so segments that differ further out become
+one leaf; a range of one number has one leaf for each string. So arrays are bounded, and each is scanned in one way.
 """
 
 from __future__ import annotations
@@ -15,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import text_slices
-from quern.llm.repeats import ByteUnits, repeated_span_plan, segments, span_arrays, window_rows, with_spans
+from quern.llm.common import materialise, text_slices
+from quern.llm.repeats import ByteUnits, build_sketch, covered, grouped_segments, kinds_of, marked_texts, segment_table, segments, span_arrays, unit_slices, with_spans
 
 LENGTH = ByteUnits.length
+#: Bits of a cell number of the filter of large anchors (2 MB).
+FILTER_BITS = 24
+#: Numbers of bytes that can stand before the anchor of a 200-byte string, and parts into which a range of them is cut.
+RANGE, CUTS = LENGTH - ByteUnits.k + 1, 4
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -44,14 +54,18 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
     # the sentinel leaves itself on the stack
 
 
-def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
-    """(left, right, members): maximal strings of at least `least` bytes around one anchor, with all occurrences.
+def maximal_repeats(lefts: list[bytes], rights: list[bytes], copies: list[int] | None = None, least: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """(left, right, members): maximal strings of at least `least` bytes around one anchor, with all their leaves.
 
     rights are the suffixes at the anchors, lefts the bytes before them, reversed. The suffixes are sorted and their
     common-prefix intervals scanned; an interval is right-maximal by construction. Within it the left contexts are
     scanned alike: where all left extensions agree the string can be extended, so only strings whose left
-    extensions differ (or end) are put out, once for the right interval in which they are longest.
+    extensions differ (or end) are put out, once for the right interval in which they are longest. A leaf of several
+    copies is an interval of its own, whose members agree in all bytes.
     """
+    for k, n in enumerate(copies or ()):
+        if n > 1 and len(lefts[k]) + len(rights[k]) >= least:
+            yield len(lefts[k]), len(rights[k]), [k]
     order = sorted(range(len(rights)), key=rights.__getitem__)
     lcp = [common_prefix(rights[a], rights[b]) for a, b in zip(order, order[1:])]
     for right, first, last in intervals(lcp):
@@ -69,51 +83,165 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], least: int = LENGTH
                 yield left, right, [inside[k] for k in places]
 
 
-def segment_texts(docs_with_spans: DataFrame) -> DataFrame:
-    """Bytes of representative segments before (reversed) and from their anchors, with their place."""
+LEAF_FIELDS = "h long, c long, copies int, left binary, right binary"
+
+
+def _leaves(u: ByteUnits, wanted) -> pa.RecordBatch:
+    """Leaves of the segments of a slice that wanted(lo, h) chooses: h, c, copies, bytes before the anchor (reversed) and from it."""
+    _, lo, n, at, h, c = segments(u)
+    copies = wanted(lo, h)
+    some = np.flatnonzero(copies)
+    lo, n, at = lo[some].tolist(), n[some].tolist(), at[some].tolist()
+    raw = u.data.tobytes() if len(some) else b""
+    return pa.record_batch(
+        {
+            "h": pa.array(h[some].view(np.int64)),
+            "c": pa.array(c[some].view(np.int64)),
+            "copies": pa.array(copies[some].astype(np.int32)),
+            "left": pa.array([raw[a:b][::-1] for a, b in zip(lo, at)], pa.binary()),
+            "right": pa.array([raw[a : b + k - 1 + LENGTH] for a, b, k in zip(at, lo, n)], pa.binary()),
+        }
+    )
+
+
+def leaf_texts(docs_with_spans: DataFrame) -> DataFrame:
+    """Leaves of the segments that begin where a span does; the number in the span is the leaf's copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            span_row, span_lo, _ = span_arrays(batch.column(2))
-            ids = batch.column(0)
-            for first, last, data, offsets in text_slices(batch, "text"):
+            span_row, span_lo, span_n = span_arrays(batch.column(3))
+            for first, last, u, base in unit_slices(batch, ByteUnits):
                 mine = slice(*np.searchsorted(span_row, [first, last]))
                 if mine.start == mine.stop:
                     continue
-                u = ByteUnits(data, offsets)
-                row, lo, n, at, h, _ = segments(u)
-                wanted = np.isin(lo, offsets[span_row[mine] - first] + span_lo[mine])
-                row, lo, n, at, h = row[wanted], lo[wanted], n[wanted], at[wanted], h[wanted]
-                raw = data.tobytes()
-                yield pa.record_batch(
-                    {
-                        "h": pa.array(h.view(np.int64)),
-                        "doc_id": ids.slice(first, last - first).take(pa.array(row)),
-                        "at": pa.array((at - offsets[row]).astype(np.int32)),
-                        "left": pa.array([raw[a:b][::-1] for a, b in zip(lo.tolist(), at.tolist())], pa.binary()),
-                        "right": pa.array([raw[a:b] for a, b in zip(at.tolist(), (lo + n - 1 + LENGTH).tolist())], pa.binary()),
-                    }
-                )
-
-    return docs_with_spans.mapInArrow(run, "h long, doc_id long, at int, left binary, right binary")
-
-
-def interval_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, lo, n) of windows that two representatives of an anchor share; rows come sorted by anchor."""
+                place = u.offsets[span_row[mine] - first] + span_lo[mine] - base
+
+                def wanted(lo, h):
+                    at = np.minimum(np.searchsorted(place, lo), len(place) - 1)
+                    return np.where(place[at] == lo, span_n[mine][at], 0)
+
+                yield _leaves(u, wanted)
+
+    return docs_with_spans.mapInArrow(run, LEAF_FIELDS)
+
+
+def large_leaves(docs: DataFrame, key: str, text: str, large: DataFrame) -> DataFrame:
+    """Leaves of the anchors in large, one row for each (h, c), from one pass that shuffles nothing else.
+
+    A bit filter of fixed size spares other segments from leaving their task; a semi-join stands behind it.
+    """
+    cells = large.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("long").alias("cell"))
+    packed = cells.groupBy(F.expr("cell div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(cell % 8 as int))")).alias("bits"))
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for byte, value in packed.toLocalIterator():
+        bits[byte] = value
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        def wanted(lo, h):
+            cell = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            return shared.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1
+
+        for batch in batches:
+            for _, _, u, _ in unit_slices(batch, ByteUnits):
+                yield _leaves(u, wanted)
+
+    found = marked_texts(docs.filter(F.col(key).isNotNull()), key, text).mapInArrow(run, LEAF_FIELDS)
+    found = found.join(large.select("h"), "h", "left_semi")
+    return found.groupBy("h", "c").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
+
+
+CUT_FIELDS = "h long, c long, copies int, back int, array long, leaf long, lo int, hi int, left binary, right binary"
+
+
+def _name(*parts: bytes) -> int:
+    d = hashlib.blake2b(digest_size=8)
+    for p in parts:
+        d.update(len(p).to_bytes(4, "little") + p)
+    return int.from_bytes(d.digest(), "little", signed=True)
 
-        def solved(rows):
+
+def cut_leaves(leaves: DataFrame) -> DataFrame:
+    """Leaves of too large arrays, dealt to the arrays of the parts of their range [lo, hi).
+
+    A leaf comes once for each part of which it has a string; `array` names the bytes that all strings of the part
+    share, `leaf` all bytes that they reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in CUT_FIELDS.split(", ")]
+        for batch in batches:
             out = []
-            for left, right, members in maximal_repeats([r[3] for r in rows], [r[4] for r in rows]):
-                out += [(rows[k][1], rows[k][2] - left, left + right - LENGTH + 1) for k in members]
-            return out
+            for h, c, copies, back, array, _, lo, hi, left, right in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names)):
+                edges = sorted({lo + (hi - lo) * k // CUTS for k in range(CUTS + 1)})
+                for x, y in zip(edges, edges[1:]):
+                    a, b = left[: y - 1], right[: LENGTH - x]
+                    if len(a) >= x and len(b) > LENGTH - y and len(a) + len(b) >= LENGTH:
+                        part = array.to_bytes(8, "little", signed=True) + bytes([x, y])
+                        out.append((h, c, copies, back, _name(part, left[:x], right[: LENGTH - y + 1]), _name(a, b), x, y, a, b))
+            columns = list(zip(*out)) or [()] * len(names)
+            kinds = [*[pa.int64()] * 2, *[pa.int32()] * 2, *[pa.int64()] * 2, *[pa.int32()] * 2, *[pa.binary()] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names)
+
+    return leaves.mapInArrow(run, CUT_FIELDS)
+
+
+def bounded_arrays(leaves: DataFrame, largest: int) -> list[DataFrame]:
+    """Tables of leaves (CUT_FIELDS) whose arrays have at most `largest` different leaves each and a string that may repeat.
+
+    leaves are those of larger arrays. They are cut until no array is larger, at most four times.
+    """
+    done = []
+    for step in range(1, 1 + next(k for k in range(9) if CUTS**k >= RANGE)):
+        leaves = materialise(cut_leaves(leaves), f"op10-cut{step}")
+        kinds = leaves.groupBy("array", "leaf").agg(F.sum("copies").alias("copies"))
+        sizes = materialise(kinds.groupBy("array").agg(F.count("*").alias("kinds"), F.sum("copies").alias("strings")), "op10-sizes")
+        repeated = sizes.filter((F.col("kinds") <= largest) & (F.col("strings") > 1)).select("array")
+        done.append(leaves.join(repeated, "array", "left_semi"))
+        large = sizes.filter(F.col("kinds") > largest).select("array")
+        if not large.limit(1).count():
+            return done
+        leaves = leaves.join(large, "array", "left_semi")
+    raise AssertionError("an array of one number of bytes before the anchor has one leaf")
+
+
+def repeat_groups(leaves: DataFrame, groups: bool) -> DataFrame:
+    """array, leaf, back, group, left, right: the maximal repeats of every array; leaves of an array are brought together.
+    back is the leaf's bytes before the anchor.
+
+    Without groups, the strings of a leaf that overlap are joined: left is the most bytes before the anchor at which
+    a repeated 200-byte string begins, right such that the last one ends there; group is 0.
+    """
+
+    def solved(rows):
+        found = maximal_repeats([r[3] for r in rows], [r[4] for r in rows], [r[2] for r in rows])
+        if groups:
+            for k, (left, right, members) in enumerate(found):
+                for m in members:
+                    yield *rows[m][:2], len(rows[m][3]), k, left, right
+            return
+        reach: dict[int, list[tuple[int, int]]] = {}
+        for left, right, members in found:
+            for m in members:
+                reach.setdefault(m, []).append((-left, right))
+        for m, spans in reach.items():
+            merged: list[list[int]] = []
+            for begin, end in sorted(spans):
+                # Strings from -left on; the last begins at right - 200.
+                if merged and begin <= merged[-1][1] - LENGTH + 1:
+                    merged[-1][1] = max(merged[-1][1], end)
+                else:
+                    merged.append([begin, end])
+            for begin, end in merged:
+                yield *rows[m][:2], len(rows[m][3]), 0, -begin, end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        kinds = [*[pa.int64()] * 2, *[pa.int32()] * 4]
 
         def packed(found):
-            found = list(dict.fromkeys(found))
-            ids, lo, n = zip(*found) if found else ((), (), ())
-            return pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "lo": pa.array(lo, pa.int32()), "n": pa.array(n, pa.int32())})
+            columns = list(zip(*found)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["array", "leaf", "back", "group", "left", "right"])
 
         for batch in batches:
             found = []
@@ -123,68 +251,92 @@ def interval_spans(texts: DataFrame) -> DataFrame:
                     now, rows = r[0], []
                 rows.append(r)
             yield packed(found)
-        yield packed(solved(rows))
+        yield packed(list(solved(rows)))
+
+    sorted_ = leaves.select("array", "leaf", "copies", "left", "right").repartition("array").sortWithinPartitions("array")
+    return sorted_.mapInArrow(run, "array long, leaf long, back int, group int, left int, right int")
+
+
+def _repeats(docs: DataFrame, key: str, text: str, sketch_bits: int, largest: int, groups: bool) -> DataFrame:
+    """doc_id, mark, lo, n, array, group: every occurrence of the strings that the trees put out; n strings from byte lo on."""
+    table = segment_table(docs, key, text, ByteUnits, build_sketch(docs, text, ByteUnits, sketch_bits))
+    first = grouped_segments(table, "op10")
+    kinds = kinds_of(first)
+    known = first.join(kinds, "h", "left")
+    # An array of one leaf is one interval, the leaf itself, where it has copies.
+    strings = known.filter("kinds is null and copies > 1").select("h", "c", F.lit(0).alias("off"), F.col("first.n").alias("n"), F.col("h").alias("array"), F.lit(0).alias("group"))
+    few = known.filter(F.col("kinds") <= largest).select("first.doc_id", "first.mark", "first.lo", F.least("copies", F.lit(2)).cast("int").alias("n"))
+    found = repeat_groups(leaf_texts(with_spans(docs, key, text, few)).withColumnsRenamed({"h": "array", "c": "leaf"}), groups)
+    n = (F.col("left") + F.col("right") - (LENGTH - 1)).alias("n")
+    strings = strings.unionByName(found.select(F.col("array").alias("h"), F.col("leaf").alias("c"), (F.col("back") - F.col("left")).alias("off"), n, "array", "group"))
+    large = kinds.filter(F.col("kinds") > largest)
+    if large.limit(1).count():
+        leaves = large_leaves(docs, key, text, large)
+        leaves = leaves.select("h", "c", "copies", F.length("left").alias("back"), F.col("h").alias("array"), F.col("c").alias("leaf"), F.lit(0).alias("lo"), F.lit(RANGE).alias("hi"), "left", "right")
+        for part in bounded_arrays(leaves, largest):
+            once = part.groupBy("array", "leaf").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
+            found = repeat_groups(once, groups).drop("back")
+            held = part.select("h", "c", "back", F.col("array").alias("__array"), F.col("leaf").alias("__leaf"))
+            both = held.join(found, (F.col("__array") == found.array) & (F.col("__leaf") == found.leaf))
+            strings = strings.unionByName(both.select("h", "c", (F.col("back") - F.col("left")).alias("off"), n, "array", "group"))
+    strings = strings.withColumnsRenamed({"h": "gh", "c": "gc", "n": "m"})
+    placed = table.join(strings, (table.h == F.col("gh")) & (table.c == F.col("gc")))
+    return placed.select("doc_id", "mark", (F.col("lo") + F.col("off")).alias("lo"), F.col("m").alias("n"), "array", "group")
+
+
+def maximal_repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 27, largest: int = 256) -> DataFrame:
+    """array, group, doc_id, mark, start, length: every group of maximal repeats with all its occurrences, a row each.
+
+    A group is named by its array and its number there; mark tells apart rows that share an id. Strings are maximal
+    within the segments around one anchor, so a longer repeat is put out as several groups that overlap; in an array
+    that was cut, groups cover the strings of the array's range.
+    """
+    found = _repeats(docs, key, text, sketch_bits, largest, True)
+    return found.select("array", "group", "doc_id", "mark", F.col("lo").alias("start"), (F.col("n") + LENGTH - 1).alias("length"))
 
-    return texts.mapInArrow(run, "doc_id long, lo int, n int")
 
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 27, largest: int = 256) -> DataFrame:
+    """(doc_id, mark, lo, n): n 200-byte strings from byte lo on, each of which also starts elsewhere."""
+    return _repeats(docs, key, text, sketch_bits, largest, False).select("doc_id", "mark", "lo", "n")
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 27, most_kinds: int = 64) -> DataFrame:
-    """(doc_id, lo, n): n 200-byte strings from byte lo on, each of which also starts elsewhere.
 
-    Anchors with at most most_kinds different segments get an interval tree each. Anchors with more (the edge of a
-    passage that many documents share) would be one large group, so their single strings are counted exactly by
-    two hashes in an aggregation that Spark combines before it shuffles. Both ways cover every string.
-    """
-    first, several, spans = repeated_span_plan(docs, key, text, ByteUnits, "op10", lambda place, at: F.lit(True), sketch_bits)
-    mixed = first.join(several, "h").select("first.doc_id", "first.lo", "first.n", (F.col("kinds") <= most_kinds).alias("few"))
-    few = segment_texts(with_spans(docs, key, text, mixed.filter("few")))
-    trees = interval_spans(few.repartition("h").sortWithinPartitions("h"))
-    windows = window_rows(with_spans(docs, key, text, mixed.filter("not few")), ByteUnits)
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    single = windows.join(twice, (windows.h1 == twice.g1) & (windows.h2 == twice.g2), "left_semi").select("doc_id", "lo", F.lit(1).alias("n"))
-    return spans.unionByName(trees).unionByName(single)
-
-
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 27, most_kinds: int = 64, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (texts) the bytes left, per document.
-
-    Texts are UTF-8 bytes; null counts as empty; texts under 200 bytes lose nothing; matches never cross documents.
-    Rows with a null id are returned whole. Rows that share an id have their spans pooled. What is left can cut a
-    character, so it is binary.
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch_bits: int = 27, largest: int = 256, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (texts) the bytes left, per row.
+
+    Texts are UTF-8 bytes; null counts as empty; texts under 200 bytes lose nothing; matches never cross documents; an
+    empty table gives an empty result. Rows with a null id are returned whole and remove nothing. Rows that share an
+    id are rows of their own; rows that repeat in all are copies of each other. Very long texts are read in parts that
+    overlap, with the same result. Other columns are ignored, whatever their names. What is left can cut a character,
+    so it is binary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            span_row, span_lo, span_n = span_arrays(batch.column(2))
+            span_row, span_lo, span_n = span_arrays(batch.column(3))
             for first, last, data, offsets in text_slices(batch, "text"):
                 mine = slice(*np.searchsorted(span_row, [first, last]))
                 row = span_row[mine] - first
                 begin = np.minimum(offsets[row] + span_lo[mine], offsets[row + 1])
-                end = np.minimum(begin + span_n[mine] - 1 + LENGTH, offsets[row + 1])
-                edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, end, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(gone)])
-                starts = gone.copy()
-                starts[1:] &= ~gone[:-1]
-                firsts = offsets[:-1][offsets[:-1] < len(data)]
-                starts[firsts] = gone[firsts]
-                runs = np.concatenate([[0], np.cumsum(starts)])
-                raw, left = data.tobytes(), []
-                for a, b, removed in zip(offsets[:-1].tolist(), offsets[1:].tolist(), (total[offsets[1:]] - total[offsets[:-1]]).tolist()):
-                    left.append(raw[a:b] if not removed else b"" if removed == b - a else data[a:b][~gone[a:b]].tobytes())
+                begin, end, row = covered(begin, np.minimum(begin + span_n[mine] - 1 + LENGTH, offsets[row + 1]), row)
+                rows = len(offsets) - 1
+                removed, runs = np.zeros(rows, np.int64), np.bincount(row, minlength=rows)
+                np.add.at(removed, row, end - begin)
+                edges, raw, left = np.searchsorted(row, np.arange(rows + 1)).tolist(), memoryview(data), []
+                for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    some = slice(edges[k], edges[k + 1])
+                    cuts = [a, *np.stack([begin[some], end[some]], 1).ravel().tolist(), b]
+                    left.append(b"".join(raw[x:y] for x, y in zip(cuts[::2], cuts[1::2])))
                 out = {
                     "doc_id": batch.column(0).slice(first, last - first),
                     "n_bytes": pa.array(np.diff(offsets)),
-                    "n_removed": pa.array(total[offsets[1:]] - total[offsets[:-1]]),
-                    "n_spans": pa.array(runs[offsets[1:]] - runs[offsets[:-1]]),
+                    "n_removed": pa.array(removed),
+                    "n_spans": pa.array(runs.astype(np.int64)),
                     "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left]),
                 }
                 if texts:
                     out["kept"] = pa.array(left, pa.binary())
                 yield pa.record_batch(out)
 
-    spans = repeated_spans(docs, key, text, sketch_bits, most_kinds)
+    spans = repeated_spans(docs, key, text, sketch_bits, largest)
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     return with_spans(docs, key, text, spans).mapInArrow(run, fields)
