@@ -80,31 +80,54 @@ def first_fit_decreasing(df: DataFrame, shard: str, key: str, size: str, capacit
     return df.select(shard, key, size).groupBy(shard).applyInPandas(pack, schema)
 
 
+def shards(df: DataFrame, shard: str, key: str, rows: int) -> DataFrame:
+    """Rows with a shard number by the hash of their key: as many shards as the table has multiples of `rows`."""
+    total = df.agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("__shards"))
+    return df.join(F.broadcast(total)).withColumn(shard, F.pmod(F.xxhash64(key), F.col("__shards")).cast("long")).drop("__shards")
+
+
+def compatible_runs(runs: DataFrame, run: str, problem: str, settings: Sequence[str]) -> DataFrame:
+    """run, settings_differ, extra, missing, compatible: every run against the first, with which it may be merged.
+
+    Runs may be merged or compared where all settings are equal and both have the same problems; extra and missing
+    count the problems of one side only.
+    """
+    setting = F.to_json(F.struct(*settings))
+    held = runs.select(F.col(run).alias("run"), F.col(problem).alias("problem"), setting.alias("s")).distinct()
+    first = held.agg(F.min("run").alias("first"))
+    mine = held.join(F.broadcast(first)).filter("run = first")
+    totals = mine.agg(F.count_distinct("problem").alias("n"), F.array_sort(F.collect_set("s")).alias("wanted"))
+    known = mine.select(F.col("problem").alias("p")).distinct()
+    each = held.select("run", "problem").distinct().join(known, F.col("problem") == F.col("p"), "left").groupBy("run").agg(F.count("p").alias("shared"), F.count_if(F.col("p").isNull()).alias("extra"))
+    said = held.groupBy(F.col("run").alias("r")).agg(F.array_sort(F.collect_set("s")).alias("said"))
+    both = each.join(said, F.col("run") == F.col("r")).join(F.broadcast(totals))
+    out = both.select("run", (F.col("said") != F.col("wanted")).alias("settings_differ"), "extra", (F.col("n") - F.col("shared")).alias("missing"))
+    return out.withColumn("compatible", ~F.col("settings_differ") & (F.col("extra") == 0) & (F.col("missing") == 0))
+
+
 def greedy_alignment(df: DataFrame, key: str, truth: str, predicted: str) -> DataFrame:
-    """key, pairs: truth and predicted rows (arrays of string maps) matched greedily by the number of equal fields.
+    """key, pairs: truth rows in their order, each with the predicted row that is left and agrees in most of its fields.
 
-    Best pairs first, ties by position; what is left over is paired with an empty map. Greedy choice is sequential
-    within a record, so a vectorised function does it record by record; records are small.
+    Fields that are null in the truth do not count; of equally good predicted rows the first is taken, even where no
+    field agrees. A truth row for which none is left has an empty map, and so have predicted rows left over. Native
+    array functions walk a record's rows, so no row leaves its task.
     """
-    import pandas as pd
-
-    pair = "array<struct<truth:map<string,string>,predicted:map<string,string>>>"
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for a, b in zip(pdf["t"], pdf["p"]):
-                a, b = [dict(x) for x in (a if a is not None else [])], [dict(x) for x in (b if b is not None else [])]
-                scored = sorted(((-sum(x.get(k) == v for k, v in y.items()), i, j) for i, x in enumerate(b) for j, y in enumerate(a)), key=lambda z: z)
-                used_a, used_b, pairs = set(), set(), []
-                for _, i, j in scored:
-                    if i not in used_b and j not in used_a:
-                        used_b.add(i)
-                        used_a.add(j)
-                        pairs.append((j, a[j], b[i]))
-                pairs.sort(key=lambda z: z[0])
-                rest = [(None, x, {}) for j, x in enumerate(a) if j not in used_a] + [(None, {}, x) for i, x in enumerate(b) if i not in used_b]
-                out.append([{"truth": x, "predicted": y} for _, x, y in [*pairs, *rest]])
-            yield pd.DataFrame({key: pdf[key], "pairs": out})
-
-    return df.select(key, F.col(truth).alias("t"), F.col(predicted).alias("p")).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, pairs {pair}")
+    kind = "map<string,string>"
+    none = F.create_map().cast(kind)
+    t = F.coalesce(F.col(truth), F.array().cast(f"array<{kind}>"))
+    p = F.coalesce(F.col(predicted), F.array().cast(f"array<{kind}>"))
+    agree = lambda x, y: F.size(F.filter(F.map_entries(x), lambda e: F.coalesce(e["value"] == F.try_element_at(y, e["key"]), F.lit(False))))
+    numbered = F.transform(p, lambda y, i: F.struct(i.alias("i"), y.alias("row")))
+
+    def step(state, x):
+        scored = F.transform(state["rest"], lambda y: F.struct(agree(x, y["row"]).alias("n"), (-y["i"]).alias("i")))
+        at = -F.array_max(scored)["i"]
+        chosen = F.element_at(F.filter(state["rest"], lambda y: y["i"] == at), 1)["row"]
+        return F.when(
+            F.size(state["rest"]) > 0,
+            F.struct(F.filter(state["rest"], lambda y: y["i"] != at).alias("rest"), F.concat(state["pairs"], F.array(F.struct(x.alias("truth"), chosen.alias("predicted")))).alias("pairs")),
+        ).otherwise(F.struct(state["rest"].alias("rest"), F.concat(state["pairs"], F.array(F.struct(x.alias("truth"), none.alias("predicted")))).alias("pairs")))
+
+    start = F.struct(numbered.alias("rest"), F.array().cast(f"array<struct<truth:{kind},predicted:{kind}>>").alias("pairs"))
+    extra = lambda a: F.transform(a["rest"], lambda y: F.struct(none.alias("truth"), y["row"].alias("predicted")))
+    return df.select(key, F.aggregate(t, start, step, lambda a: F.concat(a["pairs"], extra(a))).alias("pairs"))

@@ -99,3 +99,8 @@ def topological_order(edges: list[tuple[str, str]], names: list[str]) -> list[st
     for name in sorted(names):
         visit(name)
     return out
+
+
+def has_cjk(value: Column) -> Column:
+    """Whether a text or any text nested in a struct, array or map has a character of U+4E00 to U+9FFF."""
+    return F.to_json(F.struct(value.alias("v"))).rlike("[\u4e00-\u9fff]")

@@ -15,12 +15,15 @@ from quern.operators.relational import set_equal
 def grown(df: DataFrame, rows: int, key: str, parents: Mapping[str, Sequence] | None = None, salt: str = "v") -> DataFrame:
     """A table of `rows` rows like df: keys unique by construction, other values half reused, a tenth NULL.
 
-    Numbers move within their span, dates by up to a year; foreign keys are skewed to the first parents. The samples
-    that are reused (at most 1000 rows) are the only data of df that the plan holds.
+    Numbers move within their span, dates by up to a year; foreign keys are skewed to the first parents. The values
+    that are reused are those of the 1000 rows (a sample, the feature) first by the hash of their key, in that order, so
+    a rerun gives the same table.
     """
     parents = parents or {}
-    sample = df.limit(1000)
-    values = sample.agg(*[F.collect_list(c).alias(c) for c in df.columns if c != key])
+    h = F.xxhash64(F.lit(salt), F.col(key))
+    sample = df.withColumn("__h", h).orderBy("__h", key).limit(1000)
+    listed = F.array_sort(F.collect_list(F.struct("__h", *df.columns)))
+    values = sample.agg(listed.alias("__all")).select(*[F.col(f"__all.{c}").alias(c) for c in df.columns if c != key])
     ids = df.sparkSession.range(rows).select("id")
     out = ids.join(F.broadcast(values)) if len(df.columns) > 1 else ids
     cols = []
@@ -79,6 +82,20 @@ def verified(spark: SparkSession, replies: Sequence[dict], rebuild) -> list[dict
     return out
 
 
+def rechecked(spark: SparkSession, replies: Sequence[dict], tables, seed: int, fresh: Sequence[int]) -> list[dict]:
+    """Replies with a status on the tables of a seed, and held: verified there and equal to gold on all fresh seeds."""
+
+    def states(one: int) -> list[str]:
+        for name, df in tables(one).items():
+            df.createOrReplaceTempView(name)
+        truths = {g: spark.sql(g).first()[0] for g in {r["gold"] for r in replies}}
+        rows = verified(spark, [{**r, "table_key": str(one), "truth": truths[r["gold"]], "at": k} for k, r in enumerate(replies)], lambda key: tables(int(key)))
+        return [r["status"] for r in sorted(rows, key=lambda r: r["at"])]
+
+    here, later = states(seed), [states(one) for one in fresh]
+    return [{**r, "status": x, "held": x == "verified" and all(y[k] == "verified" for y in later)} for k, (r, x) in enumerate(zip(replies, here))]
+
+
 DOMAINS = {
     "trips": ("fare", ["city", "driver"]), "orders": ("amount", ["status", "channel"]), "visits": ("minutes", ["ward", "kind"]), "loans": ("principal", ["grade", "purpose"]),
     "tickets": ("hours", ["queue", "priority"]), "shipments": ("weight", ["carrier", "mode"]), "calls": ("seconds", ["agent", "topic"]), "rides": ("distance", ["bike", "member"]),

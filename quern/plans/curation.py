@@ -104,8 +104,7 @@ def _(s, d):
    a(k, rest) AS (SELECT 0::BIGINT, 300::BIGINT UNION ALL SELECT a.k+1, rest - least(n, rest // (m - a.k)) FROM a JOIN r ON r.k = a.k+1)
    SELECT lang, least(n, rest // (m - r.k + 1))::BIGINT AS quota FROM r JOIN a ON a.k = r.k - 1""")
 def _(s, d):
-    sizes = {r["lang"]: r["n"] for r in t(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    return s.createDataFrame(sorted(S.even_allocation(sizes, 300).items()), "lang string, quota long")
+    return S.even_allocation(t(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 300)
 
 
 @q("x13_share_quota", "SELECT lang, ceil(500.0::DOUBLE * n / sum(n) OVER () / 0.8)::BIGINT AS quota FROM (SELECT lang, count(*)::DOUBLE AS n FROM documents GROUP BY 1)")
@@ -157,10 +156,14 @@ def _(s, d):
     return t(s, d, "documents").select("doc_id").orderBy(S.hash_order(F.lit("17"), F.col("doc_id")), "doc_id").limit(100)
 
 
-@q("x21_licensed_only", "SELECT count(*) FILTER (WHERE NOT contains(text,'Licensed under')) AS kept, 0::BIGINT AS leaked FROM documents")
+@q("x21_licensed_only", """SELECT count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE kept AND leaks) AS leaked, count(*) FILTER (WHERE NOT kept AND leaks) AS caught
+   FROM (SELECT source <> (SELECT min(source) FROM documents) AS kept, contains(text,'Licensed under') AS leaks FROM documents)""")
 def _(s, d):
-    kept = t(s, d, "documents").filter(~F.contains("text", F.lit("Licensed under")))
-    return kept.agg(F.count("*").alias("kept"), F.count_if(F.contains("text", F.lit("Licensed under"))).alias("leaked"))
+    """The allow-list is by source; the assertion looks at the texts it lets through, so it can fail."""
+    docs = t(s, d, "documents").select("source", F.contains("text", F.lit("Licensed under")).alias("leaks"))
+    refused = docs.agg(F.min("source").alias("refused"))
+    allowed = docs.join(F.broadcast(refused)).withColumn("kept", F.col("source") != F.col("refused"))
+    return allowed.agg(F.count_if("kept").alias("kept"), F.count_if(F.col("kept") & F.col("leaks")).alias("leaked"), F.count_if(~F.col("kept") & F.col("leaks")).alias("caught"))
 
 
 @q("x22_first_seen_chunks", "SELECT doc_id % 100 AS k, min(doc_id // 100) AS chunk FROM documents GROUP BY 1")
@@ -169,9 +172,15 @@ def _(s, d):
     return S.first_seen(docs, ["k"], [F.col("chunk")])
 
 
-@q("x23_compatible_runs", "SELECT count(DISTINCT lang) = 4 AS compatible, count(DISTINCT source) AS sources FROM documents")
+@q("x23_compatible_runs", """WITH r AS (SELECT DISTINCT conv_id % 3 AS run, conv_id // 3 AS problem, CASE WHEN conv_id % 3 = 2 AND conv_id % 2 = 0 THEN 'b' ELSE 'a' END AS model FROM conversations),
+   f AS (SELECT problem, model FROM r WHERE run = (SELECT min(run) FROM r)), e AS (SELECT run, count(DISTINCT problem) FILTER (WHERE problem NOT IN (SELECT problem FROM f)) AS extra,
+     (SELECT count(DISTINCT problem) FROM f) - count(DISTINCT problem) FILTER (WHERE problem IN (SELECT problem FROM f)) AS missing, list_sort(list(DISTINCT model)) <> (SELECT list_sort(list(DISTINCT model)) FROM f) AS settings_differ FROM r GROUP BY run)
+   SELECT run, settings_differ, extra, missing, NOT settings_differ AND extra = 0 AND missing = 0 AS compatible FROM e""")
 def _(s, d):
-    return t(s, d, "documents").agg((F.count_distinct("lang") == 4).alias("compatible"), F.count_distinct("source").alias("sources"))
+    c = t(s, d, "conversations").select("conv_id").distinct()
+    model = F.when((F.col("conv_id") % 3 == 2) & (F.col("conv_id") % 2 == 0), "b").otherwise("a")
+    runs = c.select((F.col("conv_id") % 3).alias("run"), F.expr("conv_id div 3").alias("problem"), model.alias("model"))
+    return REC.compatible_runs(runs, "run", "problem", ["model"])
 
 
 @q("x24_sft_examples", """WITH tr AS (SELECT * FROM documents WHERE doc_id % 7 <> 0), ev AS (SELECT DISTINCT text FROM documents WHERE doc_id % 7 = 0),
@@ -257,14 +266,7 @@ def _(s, d):
     return t(s, d, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, F.substring_index("text", ".", 1)).otherwise(F.regexp_extract("text", "^([^,]*)", 1)).alias("key_text"))
 
 
-@q("g11_stream_blocks", """WITH x AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text),'[a-z0-9]+')) AS n FROM conversations), y AS (SELECT conv_id, turn, n, sum(n+1) OVER (ORDER BY conv_id, turn) - n - 1 AS start FROM x WHERE conv_id < 40)
-   SELECT conv_id, turn, start::BIGINT AS start, (start // 128)::BIGINT AS first_block, ((start + n) // 128)::BIGINT AS last_block FROM y""")
-def _(s, d):
-    x = t(s, d, "conversations").filter("conv_id < 40").select("conv_id", "turn", F.size(X.tokens(F.col("text"))).cast("long").alias("n"), F.lit(0).alias("shard"))
-    return REC.stream_blocks(x, ["shard"], ["conv_id", "turn"], "n", 128).select("conv_id", "turn", "start", "first_block", "last_block")
-
-
-@q("g11_stream_blocks_whole", """WITH x AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text),'[a-z0-9]+')) AS n FROM conversations), y AS (SELECT conv_id, turn, n, sum(n+1) OVER (ORDER BY conv_id, turn) - n - 1 AS start FROM x)
+@q("g11_stream_blocks", """WITH x AS (SELECT conv_id, turn, len(regexp_extract_all(lower(text),'[a-z0-9]+')) AS n FROM conversations), y AS (SELECT conv_id, turn, n, sum(n+1) OVER (ORDER BY conv_id, turn) - n - 1 AS start FROM x)
    SELECT conv_id, turn, start::BIGINT AS start, (start // 128)::BIGINT AS first_block, ((start + n) // 128)::BIGINT AS last_block FROM y""")
 def _(s, d):
     from quern.operators.windows import running_totals
@@ -282,15 +284,19 @@ def _(s, d):
     return REC.packed_blocks(x, ["conv_id", "turn"], "n", "live", 128)
 
 
+#: Rows of a packing shard, about.
+PACKED_ROWS = 2500
+
+
 @q("g12_ffd_packing", None)
 def _(s, d):
-    x = t(s, d, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(X.tokens(F.col("text"))).alias("n"))
+    x = REC.shards(t(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n")), "shard", "doc_id", PACKED_ROWS)
     return REC.first_fit_decreasing(x, "shard", "doc_id", "n", 2048)
 
 
 @q("g13_block_stats", None)
 def _(s, d):
-    x = t(s, d, "documents").select((F.col("doc_id") % 4).alias("shard"), "doc_id", F.size(X.tokens(F.col("text"))).alias("n"))
+    x = REC.shards(t(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"))).alias("n")), "shard", "doc_id", PACKED_ROWS)
     p = REC.first_fit_decreasing(x, "shard", "doc_id", "n", 2048).filter("bin >= 0")
     blocks = p.groupBy("shard", "bin").agg(F.sum("n").alias("tokens"), F.sort_array(F.collect_list("n")).alias("seq_lens"))
     return blocks.groupBy("shard").agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens"), F.round(100 * F.sum("tokens") / (2048 * F.count("*")), 4).alias("fill_pct"))

@@ -219,16 +219,12 @@ def _pair(s, d):
     return docs.select("doc_id", (F.col("n_chars") % 3 > 0).alias("ok")), docs.select("doc_id", (F.col("n_chars") % 4 > 0).alias("ok"))
 
 
-@q("t2_mcnemar", "WITH c AS (SELECT count(*) FILTER (WHERE n_chars % 3 > 0 AND n_chars % 4 = 0) AS b, count(*) FILTER (WHERE n_chars % 3 = 0 AND n_chars % 4 > 0) AS c FROM documents) SELECT b AS losses, c AS gains, round(pow(abs(b-c)-1,2)/(b+c),6) AS chi2 FROM c")
+@q("t2_mcnemar", """WITH c AS (SELECT count(*) FILTER (WHERE n_chars % 3 > 0 AND n_chars % 4 = 0) AS b, count(*) FILTER (WHERE n_chars % 3 = 0 AND n_chars % 4 > 0) AS c FROM documents UNION ALL VALUES (5, 5), (0, 1), (0, 0))
+   SELECT b AS losses, c AS gains, coalesce(round(pow(abs(b-c)-1,2)/nullif(b+c,0),6), 0) AS chi2 FROM c""")
 def _(s, d):
     r = ST.paired_counts(*_pair(s, d), "doc_id", "ok").first()
-    return s.createDataFrame([(r["losses"], r["gains"], round(ST.mcnemar_chi2(r["losses"], r["gains"])[0], 6))], "losses long, gains long, chi2 double")
-
-
-@q("t5_paired_summary", None)
-def _(s, d):
-    x = ST.paired_summary(*_pair(s, d), "doc_id", "ok")
-    return s.createDataFrame([(x["n"], x["before"], x["after"], x["delta"], x["gains"], x["losses"], x["p"], *x["before_ci"])], "n long, before double, after double, delta double, gains long, losses long, p double, low double, high double")
+    pairs = [(r["losses"], r["gains"]), (5, 5), (0, 1), (0, 0)]
+    return s.createDataFrame([(b, c, round(ST.mcnemar_chi2(b, c)[0], 6)) for b, c in pairs], "losses long, gains long, chi2 double")
 
 
 _TAIL = "least(1, 2 * (SELECT sum(exp(lgamma({n}+1) - lgamma(i+1) - lgamma({n}-i+1) - {n}*ln(2))) FROM (SELECT unnest(generate_series(0, least({b},{c}))) AS i)))"
@@ -239,9 +235,24 @@ def _(s, d):
     return s.createDataFrame([(b, c, round(ST.mcnemar_exact(b, c), 9)) for b, c in ((0, 0), (1, 9), (45, 74), (5, 6))], "b int, c int, p double")
 
 
-@q("t4_clopper_pearson", None)
+_LIMITS = """b AS (SELECT k, n, 0 AS step, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS h0, 1.0::DOUBLE AS h1 FROM kn UNION ALL
+     SELECT k, n, step + 1, CASE WHEN lt < 0.025 THEN (l0+l1)/2 ELSE l0 END, CASE WHEN lt < 0.025 THEN l1 ELSE (l0+l1)/2 END, CASE WHEN ht < 0.975 THEN (h0+h1)/2 ELSE h0 END, CASE WHEN ht < 0.975 THEN h1 ELSE (h0+h1)/2 END
+     FROM (SELECT *, list_sum(list_transform(generate_series(k, n), lambda i: exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1) + i*ln((l0+l1)/2) + (n-i)*ln(1-(l0+l1)/2)))) AS lt,
+       coalesce(list_sum(list_transform(generate_series(k+1, n), lambda i: exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1) + i*ln((h0+h1)/2) + (n-i)*ln(1-(h0+h1)/2)))), 0) AS ht FROM b WHERE step < 50)),
+   ci AS (SELECT k, n, round(CASE WHEN k = 0 THEN 0 ELSE (l0+l1)/2 END, 9)::DOUBLE AS low, round(CASE WHEN k = n THEN 1 ELSE (h0+h1)/2 END, 9)::DOUBLE AS high FROM b WHERE step = 50)"""
+
+@q("t4_clopper_pearson", f"WITH RECURSIVE kn(k, n) AS (VALUES (0,10),(10,10),(47,100),(1,400)), {_LIMITS} SELECT * FROM ci")
+def _(s, d):
+    return s.createDataFrame([(k, n, *(round(x, 9) for x in ST.clopper_pearson(k, n))) for k, n in ((0, 10), (10, 10), (47, 100), (1, 400))], "k int, n int, low double, high double")
+
+
+@q("t5_paired_summary", f"""WITH RECURSIVE c AS (SELECT count(*) AS n, count(*) FILTER (WHERE n_chars % 3 > 0) AS x, count(*) FILTER (WHERE n_chars % 4 > 0) AS y,
+     count(*) FILTER (WHERE n_chars % 3 > 0 AND n_chars % 4 = 0) AS losses, count(*) FILTER (WHERE n_chars % 3 = 0 AND n_chars % 4 > 0) AS gains FROM documents), kn AS (SELECT x AS k, n FROM c), {_LIMITS}
+   SELECT c.n, round(x/c.n, 9) AS before, round(y/c.n, 9) AS after, round((y-x)/c.n, 9) AS delta, gains, losses, round({_TAIL.format(n="(gains+losses)", b="gains", c="losses")}, 9)::DOUBLE AS p, low, high FROM c, ci""")
 def _(s, d):
-    return s.createDataFrame([(k, n, *ST.clopper_pearson(k, n)) for k, n in ((0, 10), (10, 10), (47, 100))], "k int, n int, low double, high double")
+    x = ST.paired_summary(*_pair(s, d), "doc_id", "ok")
+    r = lambda v: round(v, 9)
+    return s.createDataFrame([(x["n"], r(x["before"]), r(x["after"]), r(x["delta"]), x["gains"], x["losses"], r(x["p"]), *map(r, x["before_ci"]))], "n long, before double, after double, delta double, gains long, losses long, p double, low double, high double")
 
 
 _FISHER = """WITH t(a, b, c, d) AS (VALUES (3,1,1,3),(10,2,3,15)), x AS (SELECT t.*, unnest(generate_series(greatest(0, a+c-(c+d)), least(a+b, a+c))) AS x FROM t),
@@ -261,13 +272,7 @@ def _(s, d):
     return t(s, d, "documents").join(t(s, d, "labels"), "doc_id").groupBy("lang").agg(F.when(a >= 0.9, "target").when(a < 0.7, "below").otherwise("hold").alias("verdict"))
 
 
-@q("t8_sign_test", "WITH k AS (SELECT count(*) FILTER (WHERE l_tax < l_discount) AS a, count(*) FILTER (WHERE l_tax > l_discount) AS b FROM lineitem WHERE l_orderkey < 50) SELECT a AS shorter, b AS longer, round(" + _TAIL.format(n="(a+b)", b="a", c="b") + ", 6)::DOUBLE AS p FROM k")
-def _(s, d):
-    r = t(s, d, "lineitem").filter("l_orderkey < 50").agg(F.count_if(F.col("l_tax") < F.col("l_discount")).alias("a"), F.count_if(F.col("l_tax") > F.col("l_discount")).alias("b")).first()
-    return s.createDataFrame([(r["a"], r["b"], round(ST.sign_test(r["a"], r["b"]), 6))], "shorter long, longer long, p double")
-
-
-@q("t8_sign_test_whole", None)
+@q("t8_sign_test", "WITH k AS (SELECT count(*) FILTER (WHERE l_tax < l_discount) AS a, count(*) FILTER (WHERE l_tax > l_discount) AS b FROM lineitem) SELECT a AS shorter, b AS longer, round(" + _TAIL.format(n="(a+b)", b="a", c="b") + ", 6)::DOUBLE AS p FROM k")
 def _(s, d):
     r = t(s, d, "lineitem").agg(F.count_if(F.col("l_tax") < F.col("l_discount")).alias("a"), F.count_if(F.col("l_tax") > F.col("l_discount")).alias("b")).first()
     return s.createDataFrame([(r["a"], r["b"], round(ST.sign_test(r["a"], r["b"]), 6))], "shorter long, longer long, p double")
@@ -279,8 +284,11 @@ def _(s, d):
     return s.createDataFrame([(round(ST.minimum_detectable_effect(0.1, n), 6),)], "points double")
 
 
-@q("t10_paired_report", "SELECT lang, count(*) AS n, count(*) FILTER (WHERE n_chars % 3 > 0) AS before, count(*) FILTER (WHERE n_chars % 4 > 0) AS after FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic=1) GROUP BY 1")
+@q("t10_paired_report", """WITH x AS (SELECT doc_id, lang, n_chars % 3 > 0 AND n_chars % 7 > 0 AS before, n_chars % 4 > 0 AND n_chars % 7 > 0 AS after, contains(text, '\n') AS leak FROM documents
+     WHERE n_chars % 11 > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), s AS (SELECT lang AS stratum, * FROM x UNION ALL SELECT 'all', * FROM x UNION ALL SELECT 'leak', * FROM x WHERE leak)
+   SELECT stratum, count(*) AS n, count(*) FILTER (WHERE before) AS before, count(*) FILTER (WHERE after) AS after, count(*) FILTER (WHERE before AND NOT after) AS losses, count(*) FILTER (WHERE after AND NOT before) AS gains FROM s GROUP BY 1""")
 def _(s, d):
-    bad = t(s, d, "labels").filter("toxic = 1").select("doc_id")
-    n = F.col("n_chars")
-    return t(s, d, "documents").join(bad, "doc_id", "left_anti").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(n % 3 > 0).alias("before"), F.count_if(n % 4 > 0).alias("after"))
+    """Items whose gold fails (toxic ones here) and errored ones are left out; an unclosed reply fails in both runs."""
+    n, docs = F.col("n_chars"), t(s, d, "documents")
+    items = docs.select("doc_id", (n % 3 > 0).alias("before"), (n % 4 > 0).alias("after"), (n % 11 == 0).alias("errored"), (n % 7 == 0).alias("unclosed"), F.array_compact(F.array(F.col("lang"), F.lit("all"), F.when(F.contains("text", F.lit("\n")), "leak"))).alias("strata"))
+    return ST.paired_report(items, t(s, d, "labels").filter("toxic = 1"), "doc_id")

@@ -144,9 +144,14 @@ def _(s, d):
     return R.top_n(ok, ["c_nationkey"], [F.col("c_custkey")], 3).select("c_custkey", "c_nationkey")
 
 
-@q("p16_script_guard", "SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '[éèñöü]') GROUP BY 1")
+@q("p16_script_guard", """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '\u8dd1\u9053 ' || source WHEN doc_id % 5 = 1 THEN '\u00e9\u3042 ' || source ELSE source END AS s FROM documents)
+   SELECT doc_id % 5 AS k, count(*) FILTER (WHERE regexp_matches(s, '[\u4e00-\u9fff]')) AS guarded, count(*) AS n FROM x GROUP BY 1""")
 def _(s, d):
-    return t(s, d, "documents").filter(F.col("text").rlike("[éèñöü]")).groupBy("lang").agg(F.count("*").alias("n"))
+    """A character of U+4E00 to U+9FFF anywhere in a nested value, here the value of a map inside a list of rows."""
+    k = F.col("doc_id") % 5
+    mark = F.when(k == 0, F.concat(F.lit("\u8dd1\u9053 "), F.col("source"))).when(k == 1, F.concat(F.lit("\u00e9\u3042 "), F.col("source"))).otherwise(F.col("source"))
+    nested = F.array(F.struct(F.lit("x").alias("kind"), F.create_map(F.lit("where"), mark).alias("fields")))
+    return t(s, d, "documents").select(k.alias("k"), R.has_cjk(nested).alias("cjk")).groupBy("k").agg(F.count_if("cjk").alias("guarded"), F.count("*").alias("n"))
 
 
 @q("p17_row_policy", "SELECT count(*) AS visible FROM orders WHERE NOT (o_orderdate >= TIMESTAMP '1999-01-01')")
@@ -271,17 +276,6 @@ def _(s, d):
 
 
 @q("j13_multi_key_leak", """WITH test AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0)
-   SELECT count(*) AS leaked, count(*) > 0.01 * (SELECT count(*) FROM test) AS fails FROM test WHERE EXISTS (SELECT 1 FROM lineitem x WHERE x.l_orderkey % 20 = 0
-   AND x.l_orderkey=test.l_orderkey AND x.l_partkey=test.l_partkey AND x.l_suppkey=test.l_suppkey AND x.l_quantity=test.l_quantity AND x.l_shipdate=test.l_shipdate)""")
-def _(s, d):
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
-    line = t(s, d, "lineitem").select(*keys)
-    test = line.filter("l_orderkey % 10 = 0").distinct()
-    found = line.filter("l_orderkey % 20 = 0").select(*keys).distinct().withColumn("hit", F.lit(1))
-    return test.join(found, keys, "left").agg(F.count("hit").alias("leaked"), (F.count("hit") > 0.01 * F.count("*")).alias("fails"))
-
-
-@q("j13_multi_key_leak_whole", """WITH test AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0)
    SELECT count(*) AS leaked, count(*) > 0.01 * (SELECT count(*) FROM test) AS fails FROM test WHERE EXISTS (SELECT 1 FROM lineitem x WHERE
    x.l_orderkey=test.l_orderkey AND x.l_partkey=test.l_partkey AND x.l_suppkey=test.l_suppkey AND x.l_quantity=test.l_quantity AND x.l_shipdate=test.l_shipdate)""")
 def _(s, d):

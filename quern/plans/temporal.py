@@ -55,15 +55,7 @@ def _(s, d):
     return T.longest_streak(_daily(s, d), "g", "day", F.col("v") > 19)
 
 
-@q("a37_weekly_resample", """WITH w AS (SELECT CAST(o_orderdate AS DATE) + CAST((7 - isodow(o_orderdate)) % 7 AS INTEGER) AS week_end, sum(o_totalprice) AS total FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1),
-   c AS (SELECT CAST(unnest(generate_series((SELECT min(week_end) FROM w)::TIMESTAMP, (SELECT max(week_end) FROM w)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end)
-   SELECT CAST(c.week_end AS VARCHAR) AS week_end, round(coalesce(total,0),2) AS total FROM c LEFT JOIN w USING (week_end)""")
-def _(s, d):
-    o = t(s, d, "orders").filter("o_custkey % 50 = 0").withColumn("day", F.to_date("o_orderdate"))
-    return T.weekly_totals(o, "day", F.col("o_totalprice")).select(F.col("week_end").cast("string").alias("week_end"), F.round("total", 2).alias("total"))
-
-
-@q("a37_weekly_resample_whole", """WITH w AS (SELECT CAST(o_orderdate AS DATE) + CAST((7 - isodow(o_orderdate)) % 7 AS INTEGER) AS week_end, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+@q("a37_weekly_resample", """WITH w AS (SELECT CAST(o_orderdate AS DATE) + CAST((7 - isodow(o_orderdate)) % 7 AS INTEGER) AS week_end, sum(o_totalprice) AS total FROM orders GROUP BY 1),
    c AS (SELECT CAST(unnest(generate_series((SELECT min(week_end) FROM w)::TIMESTAMP, (SELECT max(week_end) FROM w)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_end)
    SELECT CAST(c.week_end AS VARCHAR) AS week_end, round(coalesce(total,0),2) AS total FROM c LEFT JOIN w USING (week_end)""")
 def _(s, d):

@@ -65,6 +65,15 @@ def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
+def fill_zone(df: DataFrame, path: str, partition_by: Sequence[str], key: str) -> None:
+    """Appends the rows whose key the zone does not hold yet, one folder per value of the partition columns."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        df = pending(df, spark.read.parquet(path), key)
+    write_parquet(df, path, partition_by, "append")
+
+
 def append_ledger(spark: SparkSession, path: str, url: str, sha256: str, size: int, rows: int) -> None:
     spark.createDataFrame([(url, sha256, size, rows)], "url string, sha256 string, bytes long, rows long").coalesce(1).write.mode("append").json(path)
 

@@ -96,7 +96,9 @@ def test_abstention_lowers_recall_only(spark):
 def test_allocations(spark):
     df = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "k string, n int")
     assert collected(S.largest_remainder(df, "k", "n", 7)) == [("a", 4), ("b", 2), ("c", 1)]
-    assert S.even_allocation({"a": 1, "b": 10, "c": 10}, 12) == {"a": 1, "b": 5, "c": 6}
+    df = spark.createDataFrame([("a", 1), ("b", 10), ("c", 10)], "k string, n long")
+    quota = lambda total: [r["quota"] for r in S.even_allocation(df, "k", "n", total).orderBy("k").collect()]
+    assert quota(12) == [1, 5, 6] and quota(0) == [0, 0, 0] and quota(2) == [0, 1, 1] and quota(21) == quota(99) == [1, 10, 10] and quota(20) == [1, 9, 10]
 
 
 def test_budget_keeps_the_row_that_crosses(spark):
@@ -137,12 +139,47 @@ def test_row_order_does_not_matter(spark):
     assert all(p["truth"] == p["predicted"] for p in pairs)
 
 
+def test_rows_are_aligned_in_the_order_of_the_truth(spark):
+    """Against a plain loop: first best predicted row that is left, null fields of the truth not counted."""
+    import random
+
+    rng = random.Random(1)
+    some = lambda: [{k: rng.choice(["1", "2", None]) for k in rng.sample("abc", rng.randint(0, 3))} for _ in range(rng.randint(0, 4))]
+    rows = [(0, [{"x": "1", "y": "1"}, {"x": "1", "y": "1", "z": "2"}], [{"x": "1", "y": "1", "z": "2"}, {"q": "9"}])] + [(i, some(), some()) for i in range(1, 60)]
+    x = spark.createDataFrame([*rows, (99, None, None)], "id int, t array<map<string,string>>, p array<map<string,string>>")
+    got = {r["id"]: [(p["truth"], p["predicted"]) for p in r["pairs"]] for r in REC.greedy_alignment(x, "id", "t", "p").collect()}
+    for i, truth, predicted in rows:
+        left, want = list(range(len(predicted))), []
+        for t in truth:
+            best = max(left, key=lambda j: (sum(v is not None and predicted[j].get(k) == v for k, v in t.items()), -j), default=None)
+            want.append((t, {} if best is None else predicted[best]))
+            left = [j for j in left if j != best]
+        assert got[i] == want + [({}, predicted[j]) for j in left]
+    assert got[99] == [] and got[0][0][1] == {"x": "1", "y": "1", "z": "2"}
+
+
 def test_exact_tests():
-    assert ST.mcnemar_exact(0, 0) == 1.0 and ST.mcnemar_exact(1, 9) == pytest.approx(22 / 1024)
-    assert ST.mcnemar_chi2(5, 5)[1] == pytest.approx(math.erfc(0.0)) or ST.mcnemar_chi2(5, 5)[0] == 0.0
+    assert ST.mcnemar_exact(0, 0) == 1.0 and ST.mcnemar_exact(1, 9) == pytest.approx(22 / 1024) and ST.mcnemar_exact(6, 6) == 1.0
+    s, p = ST.mcnemar_chi2(5, 5)
+    assert s == pytest.approx(0.1) and p == pytest.approx(0.7518, abs=1e-4) and ST.mcnemar_chi2(0, 0) == (0.0, 1.0)
     low, high = ST.clopper_pearson(0, 10)
     assert low == 0.0 and high == pytest.approx(1 - 0.025 ** (1 / 10), abs=1e-9)
-    assert ST.fisher_exact(3, 1, 1, 3) == pytest.approx(34 / 70)
+    for k, n in ((3, 11), (47, 100), (1, 5000), (4999, 5000)):
+        low, high = ST.clopper_pearson(k, n)
+        at = lambda p, ks: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in ks)
+        assert at(low, range(k, n + 1)) == pytest.approx(0.025, rel=1e-6) and at(high, range(k + 1)) == pytest.approx(0.025, rel=1e-6)
+    assert ST.fisher_exact(3, 1, 1, 3) == pytest.approx(34 / 70) and ST.fisher_exact(0, 0, 0, 0) == 1.0
+    assert 0 <= ST.mcnemar_exact(200_000, 201_000) < 0.2
+
+
+def test_read_only_runner_refuses_what_changes(spark):
+    from quern.sources import sql_tool
+
+    spark.range(3).createOrReplaceTempView("vv")
+    assert sql_tool.read_only_rows(spark, "SELECT ';' AS a, count(*) FROM vv; -- done; really")["rows"] == [(";", 3)]
+    for bad in ("DROP VIEW vv", "SET x = 1", "INSERT INTO vv SELECT 1", "CREATE TEMP VIEW w AS SELECT 1", "WITH q AS (SELECT 1) INSERT INTO vv SELECT * FROM q", "SELECT 1; DROP VIEW vv", "CACHE TABLE vv", "USE x", "ADD JAR 'x'", ""):
+        assert not sql_tool.read_only_rows(spark, bad)["ok"], bad
+    assert sql_tool.read_only_rows(spark, "SELECT * FROM vv", most_rows=2)["more"]
 
 
 def test_bootstrap_brackets_and_repeats(spark):
