@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD
+from quern.llm.common import WORD, text_mark
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -20,15 +20,18 @@ def document_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """Word, symbol, line and repetition counts of every whole text.
 
     Repeated 3-word windows are found per row by sorting (hash, position) pairs, so no row leaves its task.
-    Null and empty texts count as no words; texts under three words have no repeated words.
+    Null and empty texts count as no words; texts under three words have no repeated words. mark tells apart the texts
+    of rows that share an id.
     """
     n = F.size("__words")
     base = (
         docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+        .withColumn("mark", text_mark(F.col("__text")))
         .withColumn("__words", F.regexp_extract_all("__text", F.lit(WORD), 0))
         .withColumn("__lines", F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD)))
         .select(
             "doc_id",
+            "mark",
             "__words",
             n.cast("long").alias("n_words"),
             F.aggregate("__words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
@@ -73,23 +76,29 @@ def document_metrics(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
 
 def document_lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """One row per different normalised line of a document: its hash and the words it holds, repeats summed."""
+    """doc_id, mark, host, pos, line, words: one row per line with a word, its normalised hash and its words."""
+    whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.transform(
-        F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD)),
+        F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD)),
         lambda x: F.struct(line_key(x).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")),
     )
-    return docs.select(F.col(key).alias("doc_id"), F.col(host).alias("host"), F.explode(lines).alias("l")).select("doc_id", "host", "l.line", "l.words")
+    rows = docs.select(F.col(key).alias("doc_id"), text_mark(whole).alias("mark"), F.col(host).alias("host"), F.posexplode(lines).alias("pos", "l"))
+    return rows.select("doc_id", "mark", "host", "pos", "l.line", "l.words")
 
 
 def frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, min_share: float = 0.0005) -> DataFrame:
     """(host, line, n_docs): lines that stand in more than min_docs documents and more than min_share of a host's documents.
 
-    Documents are counted per (host, line) after the lines of a document are made distinct inside its row,
-    and partial counts are formed before the shuffle, so a hot host or line sends one row per task.
+    Documents are counted by different ids, so rows that share one count once, and rows without one not at all. The
+    lines of a row are made distinct inside it, (host, line, id) in its task and then in its shuffle, and counts are
+    formed in part before the second one, so a hot host or line sends one row per task there.
     """
     hashes = F.array_distinct(F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD)), line_key))
-    per_line = docs.select(F.col(host).alias("host"), F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    per_host = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"))
+    per_line = (
+        docs.select(F.col(host).alias("host"), F.col(key).alias("id"), F.explode(hashes).alias("line"))
+        .groupBy("host", "line").agg(F.count_distinct("id").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    )
+    per_host = docs.groupBy(F.col(host).alias("host")).agg(F.count_distinct(F.col(key)).alias("host_docs"))
     joined = per_line.join(per_host, per_line.host.eqNullSafe(per_host.host)).select(per_line.host, "line", "n_docs", "host_docs")
     return joined.filter(F.col("n_docs") > F.col("host_docs") * min_share).drop("host_docs")
 
@@ -109,21 +118,25 @@ def quality_rules(
 
     A document is rejected when it fails the base rules (too few words, or too many words in repeated 3-word
     windows) or when more than max_removed_share of its words stand in lines that are frequent on its host.
-    Null host is a host of its own. Null text has no words and fails the base rules. Rows that share an id are
-    pooled: their removed words are summed and compared with the words of each.
+    Null host is a host of its own. Null and empty texts have no words and fail the base rules. Rows that share an id
+    count as one document for a line's frequency, and each is judged by its own text. Rows without an id count for no
+    line and lose none. Very long texts are read whole, in time linear in their length but for one sort. An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     metrics = document_metrics(docs, key, text)
     lines = document_lines(docs, key, text, host)
     frequent = frequent_lines(docs, key, text, host, min_docs, min_share)
     removed = (
         lines.join(frequent, (lines.line == frequent.line) & lines.host.eqNullSafe(frequent.host))
-        .groupBy(lines.doc_id.alias("removed_id"))
+        .select(lines.doc_id.alias("removed_id"), lines["mark"].alias("removed_mark"), "pos", "words")
+        .distinct()  # rows that repeat in all
+        .groupBy("removed_id", "removed_mark")
         .agg(F.sum("words").cast("long").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
     )
     base_failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     return (
-        metrics.join(removed, metrics.doc_id == removed.removed_id, "left")
-        .drop("removed_id")
+        metrics.join(removed, (metrics.doc_id == removed.removed_id) & (metrics["mark"] == removed.removed_mark), "left")
+        .drop("removed_id", "removed_mark", "mark")
         .withColumns({"n_removed_words": F.coalesce("n_removed_words", F.lit(0).cast("long")), "n_removed_lines": F.coalesce("n_removed_lines", F.lit(0).cast("long"))})
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed_share * F.col("n_words")))
@@ -135,8 +148,9 @@ def cleaned_texts(docs: DataFrame, frequent: DataFrame, key: str = "doc_id", tex
     lines = document_lines(docs, key, text, host)
     drop = (
         lines.join(frequent, (lines.line == frequent.line) & lines.host.eqNullSafe(frequent.host))
-        .groupBy(lines.doc_id.alias("removed_id"))
+        .groupBy(lines.doc_id.alias("removed_id"), lines["mark"].alias("removed_mark"))
         .agg(F.collect_set(lines.line).alias("__drop"))
     )
+    mark = text_mark(F.coalesce(docs[text], F.lit("")))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.coalesce(F.array_contains("__drop", line_key(x)), F.lit(False)) | ~x.rlike(WORD)), "\n")
-    return docs.join(drop, docs[key] == drop.removed_id, "left").select(docs[key].alias("doc_id"), F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept).alias("text"))
+    return docs.join(drop, (docs[key] == drop.removed_id) & (mark == drop.removed_mark), "left").select(docs[key].alias("doc_id"), F.when(F.col("__drop").isNull(), F.col(text)).otherwise(kept).alias("text"))

@@ -73,7 +73,7 @@ l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
 lw AS (SELECT *, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS norm,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS host_docs FROM documents GROUP BY source),
 freq AS (SELECT lw.source, norm, count(DISTINCT doc_id) AS n_docs FROM lw GROUP BY lw.source, norm),
 big AS (SELECT freq.source, norm FROM freq JOIN hosts ON freq.source IS NOT DISTINCT FROM hosts.source
         WHERE n_docs > 20 AND n_docs > host_docs * 0.0005),

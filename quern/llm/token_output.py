@@ -11,19 +11,23 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import IS_SPACE, byte_prefix, shared_path, span_hash, text_slices
+from quern.llm.common import IS_SPACE, byte_prefix, materialise, shared_path, span_hash, text_slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text into pieces for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
-#: Runs without white space longer than this are cut before they are encoded: merging is quadratic in a run.
-LONGEST_RUN = 4096
-_RUN = re.compile(rf"\S{{{LONGEST_RUN}}}")
+#: PATTERN for the regex module, with white space as Unicode has it.
+_PIECES = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+#: Runs without white space from this length on are looked at piece by piece; pieces of more bytes than BLOCK are
+#: encoded in blocks (merging is quadratic in a piece), of which the last MARGIN bytes wait for the next block.
+LONG_RUN, BLOCK, MARGIN = 2048, 1024, 192
+_RUN = re.compile(rf"\S{{{LONG_RUN}}}")
 ROUNDS = 4
 #: Bytes of text whose chunks are told apart together.
 SLICE = 8 << 20
@@ -78,13 +82,64 @@ class Tokenizer:
         return np.frombuffer(self.encoding()._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
-        """Token ids of a whole text; very long runs without white space are encoded in parts."""
-        parts = [text]
-        if len(text) >= LONGEST_RUN and _RUN.search(text):
-            parts = re.findall(rf"\s*\S{{1,{LONGEST_RUN}}}|\s+", text)
-        ids = [self._ids(p) for p in parts]
-        return ids[0] if len(ids) == 1 else np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-
+        """Token ids of a whole text, those of the tokenizer itself however long its runs without white space are."""
+        if len(text) < LONG_RUN or not _RUN.search(text):
+            return self._ids(text)
+        one, out = self.encoding()._core_bpe.encode_single_piece, []
+        for m in _PIECES.finditer(text):
+            piece = m.group().encode()
+            out += one(piece) if len(piece) <= BLOCK else self._long_piece(piece)
+        return np.array(out, np.uint32)
+
+    def _long_piece(self, piece: bytes) -> list[int]:
+        """Ids of one long piece, in time linear in its length.
+
+        A sequence of tokens is what merging gives for its bytes exactly if every two neighbours are what merging gives
+        for theirs. So blocks are encoded apart, each from a token's end on, and every seam is tested; where a seam
+        does not hold, the next block begins a token earlier and is twice as long.
+        """
+        core, widths = self.encoding()._core_bpe, self.widths()
+        ids, at, size = [], 0, BLOCK
+        while True:
+            block = core.encode_single_piece(piece[at : at + size])
+            if ids and at:
+                left = core.decode_single_token_bytes(ids[-1])
+                right = core.decode_single_token_bytes(block[0])
+                if core.encode_single_piece(left + right) != [ids[-1], block[0]]:
+                    at -= len(left)
+                    ids.pop()
+                    size *= 2
+                    continue
+            if at + size >= len(piece):
+                return ids + block
+            ends = np.cumsum(widths[block])
+            kept = max(1, int(np.searchsorted(ends, size - MARGIN, "right")))
+            ids += block[:kept]
+            at, size = at + int(ends[kept - 1]), BLOCK
+
+    def encode_slices(self, batch: pa.RecordBatch, ids: bool = True) -> Iterator[tuple]:
+        """(first, last, ids, edges) of the rows of a batch, or (first, last, number of ids, None).
+
+        A text over a slice is encoded in parts cut where PATTERN begins a piece, so only its ids are held as a whole.
+        """
+        for first, last, data, offsets in text_slices(batch, "text", SLICE):
+            if len(data) <= SLICE:
+                yield first, last, *(self.encode_rows(data, offsets) if ids else (self.encode_rows(data, offsets, False), None))
+                continue
+            made, at = [], 0
+            while at < len(data):
+                until = at + SLICE // 2
+                while until < len(data):
+                    starts = chunk_starts(data[until : until + SLICE // 2], np.array([0, min(len(data) - until, SLICE // 2)]))
+                    if len(starts) > 1:
+                        until += int(starts[1])
+                        break
+                    until += SLICE // 2
+                part = data[at : min(until, len(data))]
+                found = self.encode_rows(part, np.array([0, len(part)]), ids)
+                made.append(found[0] if ids else found)
+                at += len(part)
+            yield first, last, *((both := np.concatenate(made), np.array([0, len(both)])) if ids else (sum(made), None))
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray, ids: bool = True):
         """(ids, edges): the token ids of all rows one after another, and where each row's begin and end; or, without
@@ -101,7 +156,7 @@ class Tokenizer:
         a, b = starts[keys], ends[keys]
         last, before = data[b - 1], data[np.maximum(b - 2, 0)]
         closed = ((last < 0x80) & ~IS_SPACE[last]) | ((last >= 0x80) & (before >= 0xC3) & (before < 0xE0))
-        plain = np.flatnonzero((data[a] == 0x20) & closed & (b - a < LONGEST_RUN))
+        plain = np.flatnonzero((data[a] == 0x20) & closed & (b - a < LONG_RUN))
         sizes, at = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         parts, held = [], 0
         if len(plain):
@@ -235,7 +290,9 @@ def write_training_order(
     slot. Rows are dealt to shards by slot range, so that each task writes one file from front to back: to a name of
     its attempt, renamed when complete, so that a lost or repeated task leaves one whole shard. docs must be read
     from files (a scan gives the same partitions twice; a difference between the passes stops the job). Null texts
-    are skipped, empty ones give one END. Repeated rows are written each. An empty table gives no shard.
+    are skipped, empty ones give one END. Repeated rows are written each, rows without an id too (their id is null in
+    doc_ids). Very long texts and runs have the tokenizer's own ids. Other columns are ignored, whatever their names. An
+    empty table gives no shard. The index is a written table: shards are written once, however often it is read.
     """
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
@@ -247,8 +304,8 @@ def write_training_order(
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, total, n = shared.value, 0, 0
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch, "text", SLICE):
-                total += tokenizer.encode_rows(data, offsets, ids=False) + last - first
+            for first, last, made, _ in tokenizer.encode_slices(batch, ids=False):
+                total += made + last - first
                 n += last - first
         yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([total], pa.int64()), "docs": pa.array([n], pa.int64())})
 
@@ -285,8 +342,7 @@ def write_training_order(
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, last, data, offsets in text_slices(batch, "text", SLICE):
-                ids, edges = tokenizer.encode_rows(data, offsets)
+            for first, last, ids, edges in tokenizer.encode_slices(batch):
                 for doc_id, a, b in zip(names[first:last], edges[:-1].tolist(), edges[1:].tolist()):
                     stream.add(doc_id, ids[a:b])
                     if stream.held >= 1 << 20:
@@ -348,6 +404,7 @@ def write_training_order(
     shards = max(1, -(-total // layout.per_shard))
     dealt = rows.mapInArrow(placed, "slot long, shard int, tokens binary, n_tokens int, doc_ids array<long>")
     index = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(written, "slot long, shard int, byte_offset long, n_tokens int, doc_ids array<long>, crc32 long")
+    index = materialise(index, "op8-index")
     fs, name = _file(f"{path}/layout.json")
     fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(name) as f:
@@ -356,5 +413,5 @@ def write_training_order(
 
 
 def training_order(docs: DataFrame, **parameters) -> DataFrame:
-    """The index of the written sequences; writing happens as it is read."""
+    """The index of the written sequences."""
     return write_training_order(docs, **parameters)[1]

@@ -1,10 +1,12 @@
 """Quality rules, secrets, mixing, decontamination and token output, over edge cases."""
 
 import hashlib
+import random
 import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,50 @@ def test_held_out_rule(spark):
 
     for r in spark.range(200).select("id", is_held_out(F.col("id")).alias("h")).collect():
         assert r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2)
+
+
+def test_ids_of_long_runs_are_the_tokenizer_s_own():
+    from quern.llm.token_output import SLICE, TOKENIZER, Tokenizer
+
+    with open(TOKENIZER, "rb") as f:
+        t = Tokenizer(f.read())
+    rng = random.Random(1)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    texts = [
+        draw("abcdefghijklmnopqrstuvwxyz", 5000), "a" * 20_001, "ab" * 9000, draw("ABCxyz0189+/", 100_000), "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(6000)),
+        draw("一二的。", 9000), "=" * 7000, draw(["the", "ation", "'s", "-"], 6000), "x" * 3000 + " \n\n  " + "y" * 3000 + "\x1c" + "z" * 3000 + " " * 5 + "é" * 3000, " " * 6000 + "q" * 6000 + " \n",
+    ]
+    for text in texts:
+        assert t.encode(text).tolist() == t.encoding().encode(text, disallowed_special=()), text[:20]
+    words = " ".join(draw("abcdefgh", 7) for _ in range(SLICE // 7))
+    batch = pa.record_batch({"text": pa.array(["one two", words, "three"])})
+    found = [ids.tolist() for _, _, ids, _ in t.encode_slices(batch)]
+    assert found[1] == t.encoding().encode(words) and [n for _, _, n, _ in t.encode_slices(batch, ids=False)][1] == len(found[1])
+
+
+def test_the_index_can_be_read_twice(spark, repeated, tmp_path):
+    layout, index = write_training_order(repeated.withColumn("slot", F.lit(1)), length=64, path=f"file://{tmp_path}/s")
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "s").iterdir()}
+    assert index.count() == layout.sequences == index.select("slot").distinct().count()
+    assert before == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "s").iterdir()}
+    nameless = spark.createDataFrame([(None, "a b"), (3, None), (4, "")], "doc_id long, text string").repartition(1)
+    layout, index = write_training_order(nameless, length=8, path=f"file://{tmp_path}/n")
+    assert [(r["n_tokens"], r["doc_ids"]) for r in index.collect()] in ([(4, [None, 4])], [(4, [4, None])])
+
+
+def test_lines_are_counted_by_documents(spark):
+    line = "this line stands in very many places of the corpus"
+    own = "word " * 60
+    rows = [(1, f"{line}\n{own}", "a")] * 30 + [(k, f"{line}\n{k} {own}", "b") for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r["host"], r["n_docs"]) for r in frequent_lines(df, min_share=0.0).collect()} == {("b", 30)}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    often = [f"frequent line number one of {'abcdefghijklmnopqrstuvwxyz'[k]} kind" for k in range(12)]
+    fresh = lambda k: " ".join(f"w{k}x{i}q" for i in range(60))
+    rows = [(k, "\n".join(often) + f"\nown{chr(97 + k)}", "h") for k in range(26)] + [(500, "\n".join(often), "h"), (500, fresh(1), "h"), (500, "\n".join(often), "h"), (None, "\n".join(often), "h")]
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_share=0.0).collect()
+    mine = sorted((r["n_words"], r["n_removed_words"], r["kept"]) for r in got if r["doc_id"] == 500)
+    assert mine == [(60, 0, True), (84, 84, False), (84, 84, False)] and len(got) == len(rows)
+    assert [r["n_removed_words"] for r in got if r["doc_id"] is None] == [0]
