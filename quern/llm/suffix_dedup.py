@@ -87,10 +87,17 @@ LEAF_FIELDS = "h long, c long, copies int, left binary, right binary"
 
 
 def _leaves(u: ByteUnits, wanted) -> pa.RecordBatch:
-    """Leaves of the segments of a slice that wanted(lo, h) chooses: h, c, copies, bytes before the anchor (reversed) and from it."""
+    """Leaves of the segments of a slice that wanted(lo, h) gives copies: h, c, copies, bytes before the anchor (reversed)
+    and from it; segments that are equal come as one leaf with the sum of their copies."""
     _, lo, n, at, h, c = segments(u)
-    copies = wanted(lo, h)
+    copies = wanted(lo, h).astype(np.int64)
     some = np.flatnonzero(copies)
+    some = some[np.lexsort((c[some], h[some]))]
+    if len(some):
+        fresh = np.flatnonzero(np.append(True, (h[some][1:] != h[some][:-1]) | (c[some][1:] != c[some][:-1])))
+        total = np.add.reduceat(copies[some], fresh)
+        some = some[fresh]
+        copies[some] = total
     lo, n, at = lo[some].tolist(), n[some].tolist(), at[some].tolist()
     raw = u.data.tobytes() if len(some) else b""
     return pa.record_batch(
@@ -128,7 +135,8 @@ def leaf_texts(docs_with_spans: DataFrame) -> DataFrame:
 def large_leaves(docs: DataFrame, key: str, text: str, large: DataFrame) -> DataFrame:
     """Leaves of the anchors in large, one row for each (h, c), from one pass that shuffles nothing else.
 
-    A bit filter of fixed size spares other segments from leaving their task; a semi-join stands behind it.
+    A bit filter of fixed size spares other segments from leaving their task. Copies are counted in part by slice and
+    by task, and each leaf is one row before the semi-join on the anchor.
     """
     cells = large.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).cast("long").alias("cell"))
     packed = cells.groupBy(F.expr("cell div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(cell % 8 as int))")).alias("bits"))
@@ -147,8 +155,8 @@ def large_leaves(docs: DataFrame, key: str, text: str, large: DataFrame) -> Data
                 yield _leaves(u, wanted)
 
     found = marked_texts(docs.filter(F.col(key).isNotNull()), key, text).mapInArrow(run, LEAF_FIELDS)
-    found = found.join(large.select("h"), "h", "left_semi")
-    return found.groupBy("h", "c").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
+    once = found.groupBy("h", "c").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
+    return materialise(once, "op10-large").join(large.select("h"), "h", "left_semi")
 
 
 CUT_FIELDS = "h long, c long, copies int, back int, array long, leaf long, lo int, hi int, left binary, right binary"
