@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WINDOWS, byte_prefix, materialise, mix, released, sequence_hashes, span_hash, text_slices, words_of
+from quern.llm.common import WINDOWS, byte_prefix, materialise, mix, released, sequence_hashes, small_batches, span_hash, text_slices, words_of
 from quern.llm.components import connected_components
+from quern.llm.repeats import merged_sketch
 from quern.llm.simhash import near_duplicates
 
 #: Words of a shingle, least similarity in tenths, and bands of so many minima: a pair at 0.8 shares no band with
 #: probability (1 - 0.8 ** 4) ** 18 = 8e-5.
 WORDS, TENTHS, BANDS, ROWS = 5, 8, 18, 4
+#: Bytes of text whose shingles are handled at once.
+SLICE = 1 << 18
 _DRAWN = np.random.default_rng(5).integers(1, 1 << 63, (3, BANDS * ROWS), dtype=np.uint64)
 FACTORS, MASKS, WEIGHTS = _DRAWN[0] << np.uint64(1) | np.uint64(1), _DRAWN[1], _DRAWN[2] | np.uint64(1)
 
@@ -53,7 +56,7 @@ def set_marks(docs: DataFrame, sets: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch, "text"):
+            for first, last, data, offsets in text_slices(batch, "text", SLICE):
                 h, r = shingle_sets(data, offsets)
                 if not len(h):
                     continue
@@ -85,6 +88,29 @@ def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("node", "n_shingles", "parts").dropDuplicates(["node"])
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """node, common: at least as many of a set's shingles as stand in another set too, by a sketch that counts no shingle
+    of two sets as one."""
+
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        parts = batch.column(0)
+        for first in range(0, len(parts), 4096):
+            yield np.asarray(parts.slice(first, 4096).flatten()).view(np.uint64)
+
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = sets.sparkSession.sparkContext.broadcast(merged_sketch(sets.select("parts"), values, total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                parts = batch.column(1).slice(first, 4096)
+                again = np.concatenate([[0], np.cumsum(shared.value.repeated(np.asarray(parts.flatten()).view(np.uint64)))])
+                edges = np.concatenate([[0], np.cumsum(np.asarray(parts.value_lengths()))])
+                yield pa.record_batch({"node": batch.column(0).slice(first, 4096), "common": pa.array(np.diff(again[edges]))})
+
+    return sets.select("node", "parts").mapInArrow(run, "node long, common long")
+
+
 def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of pairs of nodes (a, b) whose sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("parts").alias("pa"))
@@ -97,13 +123,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """doc_id, component_id of every id that is not null: components of op5's links and of pairs of texts whose
     five-word shingles have a Jaccard similarity of 0.8 and more.
 
-    Texts with one set are one node. A pair is proposed where it shares a MinHash band and its components are not yet
-    one: first every node with the least and the greatest node of its band, then, with the components these give, all
-    pairs of a band that still join two components, each in the first band it shares. A group of near copies is thus
-    mostly linked by two members and not pair by pair, and no pair that could join two components is left out; in a
-    band of many texts that are somewhat alike, these pairs still grow with the square of their number.
+    Texts with one set are one node. A pair is proposed where it shares a MinHash band, its components are not yet one
+    and both sets have enough shingles that stand in other sets too: what a set has alone is missing in any other. First
+    every node meets the hubs of its band (the node with the largest share of such shingles, and the least node), then,
+    with the components these give, all pairs of a band that still join two components, each in the first band it
+    shares. So a group of near copies is mostly linked by its hub and not pair by pair, texts too far from all others
+    pair with none, and no pair that could join two components is left out. Null texts and texts without a word are
+    linked by op5's rule only; an empty table gives an empty result; rows that share an id are one document here; other
+    columns are ignored.
     """
     texts = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession):
+        near, edges = _linked(texts)
+    roots = connected_components(edges).select(F.col("node").alias("__node"), "root")
+    return near.join(roots, near.component_id == roots["__node"], "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
+def _linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, component_id by op5's rule, and the links (a, b) of these components by shingles; both are written tables."""
     near = materialise(near_duplicates(texts).select("doc_id", "component_id").distinct(), "near-bits")
     marks = materialise(set_marks(texts, False), "near-marks")
     homes = marks.select("doc_id", "node").join(near, "doc_id").groupBy("node", "component_id").agg(F.lit(1).alias("__one")).drop("__one")
@@ -121,28 +158,34 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         return rows.join(roots, rows.comp == roots["__node"], "left").withColumn("root", F.coalesce("__root", "comp")).drop("__node", "__root")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        """Bands that hold more than one component, with the least and the greatest node of each."""
-        ends = rows.groupBy("band").agg(F.min("node").alias("first_node"), F.max("node").alias("last_node"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        return ends.filter("r0 <> r1").select(F.col("band").alias("__band"), "first_node", "last_node")
+        """Bands that hold more than one component."""
+        return rows.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select(F.col("band").alias("__band"))
 
     banded = rooted(nodes).select("node", "doc_id", "n", "comp", "root", "bands", F.posexplode("bands").alias("place", "band"))
     bands = mixed(banded)
-    shared = materialise(banded.join(bands, banded.band == bands["__band"]).drop("__band"), "near-bands")
-    sets = materialise(sets_of(texts, shared.select("node", "doc_id").distinct()), "near-sets")
+    held = materialise(banded.join(bands, banded.band == bands["__band"]).drop("__band"), "near-bands")
+    sets = materialise(sets_of(texts, held.select("node", "doc_id").distinct()), "near-sets")
+    shared = materialise(held.join(shared_shingles(sets), "node"), "near-shared")
+    released(held)
     done = None
     for everyone in (False, True):
         if everyone:
             again = rooted(shared.drop("root"))
-            bands = mixed(again).select("__band")
+            bands = mixed(again)
             rows = again.join(bands, again.band == bands["__band"], "left_semi")
             firsts = rows
         else:
-            rows, firsts = shared, shared.filter("node = first_node or node = last_node")
-        firsts = firsts.select(F.col("band").alias("__band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("x"), F.col("root").alias("rx"), F.col("bands").alias("bx"))
+            rows = shared
+            hubs = shared.groupBy(F.col("band").alias("__b")).agg(F.max_by("node", F.struct(F.col("common") / F.col("n"), "node")).alias("hub"), F.min("node").alias("least"))
+            firsts = shared.join(hubs, shared.band == hubs["__b"]).filter("node = hub or node = least")
+        firsts = firsts.select(
+            F.col("band").alias("__band"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("common").alias("ca"), F.col("comp").alias("x"), F.col("root").alias("rx"), F.col("bands").alias("bx")
+        )
+        possible = alike(F.least("common", "ca"), F.col("n"), F.col("na"))
         sized = 10 * F.least("n", "na") >= TENTHS * F.greatest("n", "na")
         once = F.expr("array_position(zip_with(bands, bx, (p, q) -> p = q), true) = place + 1")
         order = F.col("a") < rows.node if everyone else F.col("a") != rows.node
-        pairs = rows.join(firsts, (rows.band == F.col("__band")) & order & (F.col("rx") != rows.root) & sized & once)
+        pairs = rows.join(firsts, (rows.band == F.col("__band")) & order & (F.col("rx") != rows.root) & sized & possible & once)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.least("x", "comp").alias("x"), F.greatest("x", "comp").alias("y")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -151,5 +194,4 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         edges = materialise(edges.unionByName(links).distinct(), "near-edges")
     released(sets)
     released(shared)
-    roots = connected_components(edges).select(F.col("node").alias("__node"), "root")
-    return near.join(roots, near.component_id == roots["__node"], "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    return near, edges

@@ -10,7 +10,7 @@ representative per (H, C) suffices. This shuffles one narrow row per segment ins
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,27 +176,35 @@ class Sketch:
         return keep
 
 
-def sketch_bits(docs: DataFrame, text: str, units, most: int) -> int:
-    """Cells: four for each segment expected, a power of two, at most 2**most."""
+def expected_segments(docs: DataFrame, text: str, units) -> float:
     chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     per_unit = 6 if units is WordUnits else 1
-    expected = 2 * chars / per_unit / (units.length - units.k + 2)
-    return max(12, min(most, math.ceil(math.log2(4 * expected + 1))))
+    return 2 * chars / per_unit / (units.length - units.k + 2)
 
 
-def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27, depth: int = 2) -> Sketch:
-    """Each task sends its non-empty cells by shard; a shard's cells are merged in a stream with two bits a cell.
+def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27) -> Sketch:
+    """The merged sketch of the anchors of all windows."""
 
-    The driver receives depth * 2**bits / 8 bytes (32 MB at the defaults) and broadcasts them.
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, u, _ in unit_slices(batch, units):
+            yield segments(u)[4]
+
+    return merged_sketch(docs.select(F.col(text).alias("text")), anchors, expected_segments(docs, text, units), most_bits)
+
+
+def merged_sketch(df: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], expected: float, most_bits: int = 27, depth: int = 2) -> Sketch:
+    """The sketch of all values (uint64 arrays) of a table's batches; four cells for each value expected, at most 2**most_bits.
+
+    Each task sends its non-empty cells by shard; a shard's cells are merged in a stream with two bits a cell. The
+    driver receives depth * 2**bits / 8 bytes (32 MB at the defaults) and broadcasts them.
     """
-    bits = sketch_bits(docs, text, units, most_bits)
+    bits = max(12, min(most_bits, math.ceil(math.log2(4 * expected + 1))))
     shards = min(SHARDS, max(1, (1 << bits) >> 18))
     shift = bits - int(math.log2(shards))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, u, _ in unit_slices(batch, units):
-                h = segments(u)[4]
+            for h in values(batch):
                 for row in range(depth):
                     cells, counts = np.unique(Sketch.cells(h, row, bits), return_counts=True)
                     cells = cells.astype(np.uint32)
@@ -230,7 +238,7 @@ def build_sketch(docs: DataFrame, text: str, units, most_bits: int = 27, depth:
         if now is not None:
             yield done()
 
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(local, "shard int, once binary, twice binary")
+    parts = df.mapInArrow(local, "shard int, once binary, twice binary")
     merged = parts.repartition(depth * shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, bits binary")
     size = max(1, (1 << shift) // 8)
     rows = [np.zeros(shards * size, np.uint8) for _ in range(depth)]
