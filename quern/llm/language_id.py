@@ -203,7 +203,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, key: str = "
         m = shared.value
         for batch in batches:
             column = batch.column(1)
-            for first, last, data, offsets in text_slices(batch, "text", 1 << 20):
+            for first, last, data, offsets in text_slices(batch, "text", 1 << 18):
                 lettered = np.array([has_letter(t) for t in column.slice(first, last - first).to_pylist()])
                 label, score = np.full(last - first, UNKNOWN, object), np.zeros(last - first)
                 limit = np.inf
@@ -234,7 +234,7 @@ def language_filter(docs: DataFrame, model: LanguageModel | None, text: str = "t
         m = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for first, last, data, offsets in text_slices(batch, text, 1 << 20):
+            for first, last, data, offsets in text_slices(batch, text, 1 << 18):
                 keep = np.array([has_letter(t) for t in column.slice(first, last - first).to_pylist()])
                 if m is not None:
                     keep &= m.probabilities(data, offsets).max(axis=1) >= m.limit

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in text_slices(batch, "text", 1 << 20):
+            for first, last, data, offsets in text_slices(batch, "text", 1 << 18):
                 yield pa.record_batch({"doc_id": batch.column(0).slice(first, last - first), "fp": pa.array(fingerprints_of(data, offsets).view(np.int64))})
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
