@@ -165,18 +165,21 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 16, r
 def fit_quality_model(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", label="quality", most_per_label: int = 1500, seed: int = 11) -> ByteNetwork:
     """Fit on labelled rows that are not held out; most_per_label bounds the sample collected for each label.
 
-    The sample is chosen from the narrow label table, so the documents are joined with at most
-    4 * most_per_label rows and their texts are not shuffled.
+    The sample is chosen from the narrow label table by keyed hash, so the documents are joined with at most
+    4 * most_per_label rows and their texts are not shuffled. Repeated label rows count once, and an id with several
+    texts lends the least one, so reruns agree and no id, however many rows share it, adds more than one text a label.
+    Null texts count as empty; without labelled rows the weights stay as drawn.
     """
-    rows = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(F.col(key)))
+    rows = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(F.col(key))).select(key, label).distinct()
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
     total = sum(counts.values())
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == value, F.lit(min(1.0, most_per_label / n))).otherwise(share)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
-    chosen = rows.filter(u < share).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label")).limit(4 * most_per_label)
-    found = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col(key) == F.col("__id")).select(key, "text", "label").collect()
+    chosen = rows.filter(u < share).orderBy(u, key, label).limit(4 * most_per_label).select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label"))
+    texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col(key) == F.col("__id"))
+    found = texts.groupBy(key, "label").agg(F.min("text").alias("text")).select(key, "text", "label").collect()
     found.sort(key=lambda r: (r[0], r[2], r[1]))
     return train([r["text"] for r in found], [r["label"] for r in found], counts.get(1, 0) / total if total else 0.5)
 

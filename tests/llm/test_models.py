@@ -57,6 +57,18 @@ def test_quality_accuracy(spark, docs):
     assert np.mean([s >= 0.7 for s in good]) > 0.97
 
 
+def test_quality_sample_is_the_same_in_any_order(spark):
+    """A bound that binds, repeated label rows, and an id that holds most rows."""
+    rows = [(i, f"text {i} " * (1 + i % 5), i % 2) for i in range(200)] + [(1, f"other {i}", 1) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    one = fit_quality_model(docs, labels, most_per_label=5)
+    two = fit_quality_model(docs.repartition(7, "text").orderBy(F.desc("text")), labels.repartition(5).orderBy(F.desc("doc_id")), most_per_label=5)
+    three = fit_quality_model(docs, labels.distinct(), most_per_label=5)
+    for k, x in one.p.items():
+        assert np.array_equal(x, two.p[k]) and np.array_equal(x, three.p[k])
+
+
 def test_quality_edge_cases(spark, edge, texts, clashing, empty, repeated):
     labels = edge.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     net = fit_quality_model(edge, labels, most_per_label=20)
