@@ -174,19 +174,22 @@ def train(texts: list[str], languages: list[str], epochs: int = 6, rate: float =
 
 
 def training_sample(docs: DataFrame, key: str, text: str, label: str, most_per_label: int, seed: int) -> DataFrame:
-    """About most_per_label rows of each label, at most twice that: rows whose keyed hash falls under the label's share."""
+    """About most_per_label rows of each label, at most twice that: rows whose keyed hash falls under the label's share,
+    the least hashes first where the bound binds; ties end in the id, the label and the text, so reruns agree."""
     rows = docs.filter(~is_held_out(F.col(key)) & F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).collect()}
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == value, F.lit(min(1.0, most_per_label / n))).otherwise(share)
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 24)) / float(1 << 24)
-    return rows.filter(u < share).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label")).orderBy("doc_id").limit(2 * most_per_label * max(1, len(counts)))
+    found = rows.filter(u < share).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("label"), u.alias("u"))
+    return found.orderBy("u", "doc_id", "label", "text").limit(2 * most_per_label * max(1, len(counts))).select("doc_id", "text", "label")
 
 
 def fit_language_model(docs: DataFrame, key="doc_id", text="text", language="lang", most_per_label: int = 800, seed: int = 11) -> LanguageModel | None:
     """Fit on the rows that are not held out; most_per_label bounds the sample collected for each language."""
     rows = training_sample(docs, key, text, language, most_per_label, seed).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["label"], r["text"]))
     return train([r["text"] for r in rows], [r["label"] for r in rows])
 
 

@@ -44,6 +44,15 @@ def test_language_edge_cases(edge, texts, clashing, empty, repeated, model):
     assert fit_language_model(empty) is None and predict_languages(edge, None).filter(F.col("lang_pred") != UNKNOWN).count() == 0
 
 
+def test_language_sample_is_the_same_in_any_order(spark):
+    """A bound that binds, ids that repeat with other texts, and null ids."""
+    rows = [(i % 90 or None, f"wort satz {i} und" if i % 2 else f"word {i} sentence and", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = fit_language_model(docs, most_per_label=20)
+    two = fit_language_model(docs.repartition(7, "text").orderBy(F.desc("text")), most_per_label=20)
+    assert one.labels == two.labels and np.array_equal(one.table, two.table) and (one.temperature, one.limit) == (two.temperature, two.limit)
+
+
 def test_letters():
     assert has_letter("1é") and not has_letter("12 ²½ _!") and not has_letter(None)
 
