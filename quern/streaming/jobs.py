@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A stream over a folder of Parquet files (or one file's folder pattern), with the schema of what is there."""
+#: State on the executors' disks with one bound of memory per executor, not on their heaps.
+STATE_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
+}
+
+
+def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 100) -> DataFrame:
+    """A stream over a folder of Parquet files (or one file's folder pattern), with the schema of what is there.
+
+    None: a trigger takes all files that are there. Files that are not in the order of their times need that before a
+    watermark: what one trigger has seen makes older rows of the next one late.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
 def deduplicated(stream: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -60,6 +74,25 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return stream.sparkSession.table(name)
 
 
+def run_to_files(stream: DataFrame, folder: str, settings: dict[str, str] = STATE_ON_DISK) -> DataFrame:
+    """Runs what is available and returns the Parquet files that it appended, each row once; no row passes the driver.
+
+    Files and state lie in a folder that driver and executors share. The settings hold for this stream alone: it takes
+    a copy of the session's when it starts.
+    """
+    spark, out = stream.sparkSession, f"{folder}/out"
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def next_family(quotas: dict[str, int], kept: dict[str, int], tried: dict[str, int]) -> str | None:
     """Driver-side scheduler: the family furthest from its quota by drafts still needed, at a Laplace keep rate."""
     need = {f: (q - kept.get(f, 0)) / ((kept.get(f, 0) + 1) / (tried.get(f, 0) + 2)) for f, q in quotas.items() if kept.get(f, 0) < q}
