@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import documents, materialise, released
+from quern.llm.common import documents, materialise, released, small_batches
 from quern.llm.decontaminate import contaminated
 from quern.llm.language_id import fit_language_model, language_filter
 from quern.llm.mixing import Mix
@@ -31,8 +31,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, re-parameterised or not, go."""
-    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("__gone")).distinct()
+    """Documents that hold a benchmark item, re-parameterised or not, go. Their ids are a written table, whose size is
+    known when the join is planned."""
+    with small_batches(spark):
+        found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        gone = materialise(found.select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WINDOWS, byte_prefix, mix, sequence_hashes, span_hash, text_slices
+from quern.llm.common import WINDOWS, byte_prefix, lean, mix, sequence_hashes, span_hash, text_slices
 
 #: Words that name a unit where they follow a number.
 UNITS = (
@@ -21,6 +21,8 @@ UNITS = (
 #: Tokens of a window, tokens that a shorter item must have, and share of a window's tokens that must be literal.
 WINDOW, LEAST, LITERAL = 8, 5, 0.6
 FILTER_BITS = 24
+#: Bytes of text whose tokens are handled at once.
+SLICE = 1 << 18
 NUMBER, UNIT, NAME, RAW = (np.uint64(x) for x in (0xA11CE5ED00000001, 0xA11CE5ED00000003, 0xA11CE5ED00000005, 0xA11CE5ED00000007))
 
 _KIND = np.zeros(256, np.uint8)  # 0 other, 1 letter, 2 digit
@@ -129,6 +131,30 @@ class Template:
 _UNIT_HASHES = _unit_hashes()
 
 
+def window_rows(batch: pa.RecordBatch, wanted: list[tuple[int, bool]] | None, chosen: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The rows of template_windows of a batch of (id, text)."""
+    ids = batch.column(0)
+    for first, last, data, offsets in text_slices(batch, "text", SLICE):
+        t = Template(data, offsets)
+        for length, raw, at, h in t.searched() if wanted is None else ((n, raw, *t.windows(n, raw)) for n, raw in wanted):
+            if chosen is not None:
+                cell = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                some = (chosen[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                at, h = at[some], h[some]
+            if not len(at):
+                continue
+            yield pa.record_batch(
+                {
+                    "id": ids.slice(first, last - first).take(pa.array(t.row[at])),
+                    "pos": pa.array((at - t.offsets[t.row[at]]).astype(np.int32)),
+                    "length": pa.array(np.full(len(at), length, np.int32)),
+                    "raw": pa.array(np.full(len(at), raw)),
+                    "hash": pa.array(h.view(np.int64)),
+                    "slots": pa.array([t.slots(k, length) for k in at.tolist()], pa.list_(pa.string())),
+                }
+            )
+
+
 def template_windows(texts: DataFrame, wanted: list[tuple[int, bool]] | None, chosen: np.ndarray | None) -> DataFrame:
     """id, pos, length, raw, hash, slots of windows.
 
@@ -140,28 +166,9 @@ def template_windows(texts: DataFrame, wanted: list[tuple[int, bool]] | None, ch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, data, offsets in text_slices(batch, "text", 2 << 20):
-                t = Template(data, offsets)
-                for length, raw, at, h in t.searched() if wanted is None else ((n, raw, *t.windows(n, raw)) for n, raw in wanted):
-                    if shared.value is not None:
-                        cell = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                        some = (shared.value[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                        at, h = at[some], h[some]
-                    if not len(at):
-                        continue
-                    yield pa.record_batch(
-                        {
-                            "id": ids.slice(first, last - first).take(pa.array(t.row[at])),
-                            "pos": pa.array((at - t.offsets[t.row[at]]).astype(np.int32)),
-                            "length": pa.array(np.full(len(at), length, np.int32)),
-                            "raw": pa.array(np.full(len(at), raw)),
-                            "hash": pa.array(h.view(np.int64)),
-                            "slots": pa.array([t.slots(k, length) for k in at.tolist()], pa.list_(pa.string())),
-                        }
-                    )
-
-    return texts.mapInArrow(run, "id long, pos int, length int, raw boolean, hash long, slots array<string>")
+            yield from window_rows(batch, wanted, shared.value)
+
+    return texts.mapInArrow(lean(run), "id long, pos int, length int, raw boolean, hash long, slots array<string>")
 
 
 def contaminated(

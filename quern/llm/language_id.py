@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import is_held_out, text_slices
+from quern.llm.common import is_held_out, lean, text_slices
 
 UNKNOWN = "und"
 #: Orders of the byte n-grams, hash buckets (one more stands for "no feature") and dimensions of an embedding.
@@ -245,4 +245,4 @@ def language_filter(docs: DataFrame, model: LanguageModel | None, text: str = "t
                     keep[:] = False
                 yield batch.slice(first, last - first).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WINDOWS, byte_prefix, materialise, mix, released, sequence_hashes, small_batches, span_hash, text_slices, words_of
+from quern.llm.common import WINDOWS, byte_prefix, lean, materialise, mix, released, sequence_hashes, small_batches, span_hash, text_slices, words_of
 from quern.llm.components import connected_components
 from quern.llm.repeats import merged_sketch
 from quern.llm.simhash import near_duplicates
@@ -72,7 +72,7 @@ def set_marks(docs: DataFrame, sets: bool) -> DataFrame:
                 ids = batch.column(0).slice(first, last - first).take(pa.array(r[edges]))
                 yield pa.record_batch({"doc_id": ids, "node": pa.array(set_names(h, edges, sizes).view(np.int64)), "n_shingles": pa.array(sizes.astype(np.int64)), "parts": parts})
 
-    return docs.mapInArrow(run, "doc_id long, node long, n_shingles long, parts array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, node long, n_shingles long, parts array<long>")
 
 
 def alike(common, a, b):
@@ -108,7 +108,7 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
                 edges = np.concatenate([[0], np.cumsum(np.asarray(parts.value_lengths()))])
                 yield pa.record_batch({"node": batch.column(0).slice(first, 4096), "common": pa.array(np.diff(again[edges]))})
 
-    return sets.select("node", "parts").mapInArrow(run, "node long, common long")
+    return sets.select("node", "parts").mapInArrow(lean(run), "node long, common long")
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:

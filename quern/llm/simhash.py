@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialise, text_slices, words_of
+from quern.llm.common import lean, materialise, text_slices, words_of
 from quern.llm.components import connected_components
 
 SHINGLE, SEED, BITS = 4, 42, 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for first, last, data, offsets in text_slices(batch, "text", 1 << 18):
                 yield pa.record_batch({"doc_id": batch.column(0).slice(first, last - first), "fp": pa.array(fingerprints_of(data, offsets).view(np.int64))})
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 @dataclass

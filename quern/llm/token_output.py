@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import IS_SPACE, byte_prefix, materialise, shared_path, span_hash, text_slices
+from quern.llm.common import IS_SPACE, byte_prefix, lean, materialise, shared_path, small_batches, span_hash, text_slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text into pieces for this vocabulary.
@@ -29,8 +29,8 @@ _PIECES = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r
 LONG_RUN, BLOCK, MARGIN = 2048, 1024, 192
 _RUN = re.compile(rf"\S{{{LONG_RUN}}}")
 ROUNDS = 4
-#: Bytes of text whose chunks are told apart together.
-SLICE = 8 << 20
+#: Bytes of text whose chunks are told apart together: whole arrays over it and powers that stay take about 70 times as much.
+SLICE = 2 << 20
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -309,7 +309,8 @@ def write_training_order(
                 n += last - first
         yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([total], pa.int64()), "docs": pa.array([n], pa.int64())})
 
-    counts = {r["part"]: (r["tokens"], r["docs"]) for r in rows.mapInArrow(counted, "part int, tokens long, docs long").collect()}
+    with small_batches(spark):
+        counts = {r["part"]: (r["tokens"], r["docs"]) for r in rows.mapInArrow(lean(counted), "part int, tokens long, docs long").collect()}
     parts = max(counts, default=-1) + 1
     sequences = np.array([-(-counts.get(p, (0, 0))[0] // length) for p in range(parts)], np.int64)
     total = int(sequences.sum())
@@ -402,9 +403,10 @@ def write_training_order(
             close()
 
     shards = max(1, -(-total // layout.per_shard))
-    dealt = rows.mapInArrow(placed, "slot long, shard int, tokens binary, n_tokens int, doc_ids array<long>")
+    dealt = rows.mapInArrow(lean(placed), "slot long, shard int, tokens binary, n_tokens int, doc_ids array<long>")
     index = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(written, "slot long, shard int, byte_offset long, n_tokens int, doc_ids array<long>, crc32 long")
-    index = materialise(index, "op8-index")
+    with small_batches(spark):
+        index = materialise(index, "op8-index")
     fs, name = _file(f"{path}/layout.json")
     fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(name) as f:
